@@ -1,0 +1,132 @@
+"""URL filters: a trie over reversed host labels and path segments, broadcast to the executors.
+
+A node per host label, from the top-level domain down; below the node of a rule's host, a node per path segment. The
+most host labels win, then the longest path; of an allow and a block entry for the same host and path, block wins.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Most rules that are broadcast as one trie, some 200 MB; larger lists go through further tries in turn.
+MAX_RULES = 500_000
+
+#: Rules of the registered query: verdict, host, path.
+RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+UPPER = {c: c + 32 for c in range(65, 91)}
+
+
+def split_url(url: str | None) -> tuple[str, str]:
+    """Host (after the first ://, A-Z lower-cased) and path; both empty if there is none."""
+    at = -1 if url is None else url.find("://")
+    if at < 0:
+        return "", ""
+    rest = url[at + 3:]
+    for mark in "?#":
+        rest = rest.partition(mark)[0]
+    host, slash, path = rest.partition("/")
+    return host.translate(UPPER), slash + path
+
+
+class Trie:
+    def __init__(self, rules: Iterable[tuple[str, str, str]]):
+        self.top: dict = {}
+        for verdict, host, path in rules:
+            node = self.top
+            for label in reversed(host.split(".")):
+                node = node.setdefault(("host", label), {})
+            *whole, last = path.split("/")
+            for segment in whole:
+                node = node.setdefault(("path", segment), {})
+            ends = node.setdefault("ends", {})
+            if ends.get(last, ("", ""))[0] != "block":
+                ends[last] = (verdict, host + path)
+
+    @staticmethod
+    def _along(node: dict, segments: list[str]) -> tuple[str, str] | None:
+        """The longest rule that starts the path, below the node of a host."""
+        best = None
+        for k, segment in enumerate(segments):
+            ends = node.get("ends")
+            if ends:
+                fits = [e for e in range(len(segment), -1, -1) if segment[:e] in ends]
+                if fits:
+                    best = ends[segment[:fits[0]]]
+            node = node.get(("path", segment)) if k + 1 < len(segments) else None
+            if node is None:
+                break
+        return best
+
+    def find(self, host: str, path: str) -> tuple[str, str] | None:
+        """(verdict, rule) of the longest rule that fits."""
+        node, best, segments = self.top, None, path.split("/")
+        for label in reversed(host.split(".")):
+            node = node.get(("host", label))
+            if node is None:
+                break
+            best = self._along(node, segments) or best
+        return best
+
+
+def longer(a: tuple[str, str] | None, b: tuple[str, str] | None) -> tuple[str, str] | None:
+    if a is None or b is None:
+        return a or b
+    rank = lambda r: (r[1].partition("/")[0].count("."), len(r[1]), r[0] == "block")
+    return max(a, b, key=rank)
+
+
+def url_filter(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+    """Per row: page_id, host, path, rule (null if none fits), verdict (the rule's, else the default).
+
+    A null url and one without :// have an empty host and path and take the default. An empty table gives no rows, an
+    empty list of rules the default everywhere; repeated rows are each judged; other columns are not read.
+    """
+    rules = list(rules)
+    spark = pages.sparkSession
+    tries = [spark.sparkContext.broadcast(Trie(rules[k:k + MAX_RULES])) for k in range(0, len(rules), MAX_RULES)]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, paths, found, verdicts = [], [], [], []
+            for url in batch.column(1).to_pylist():
+                host, path = split_url(url)
+                best = None
+                for trie in tries:
+                    best = longer(best, trie.value.find(host, path))
+                hosts.append(host)
+                paths.append(path)
+                found.append(best[1] if best else None)
+                verdicts.append(best[0] if best else default)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in (hosts, paths, found, verdicts))], names=["page_id", "host", "path", "rule", "verdict"])
+
+    kind = dict(pages.dtypes)[id_col]
+    return pages.select(id_col, url_col).mapInArrow(judge, f"page_id {kind}, host string, path string, rule string, verdict string")
+
+
+def allowed(pages: DataFrame, rules: Iterable[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """The rows of pages, all columns, whose url is allowed."""
+    rules = list(rules)
+    spark = pages.sparkSession
+    tries = [spark.sparkContext.broadcast(Trie(rules[k:k + MAX_RULES])) for k in range(0, len(rules), MAX_RULES)]
+
+    @F.pandas_udf("boolean")
+    def fits(urls):
+        def one(url):
+            best = None
+            for trie in tries:
+                best = longer(best, trie.value.find(*split_url(url)))
+            return best is None or best[0] == "allow"
+        return urls.map(one)
+
+    return pages.where(fits(F.col(url_col)))
