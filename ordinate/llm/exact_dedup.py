@@ -34,10 +34,10 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.substring("norm", 1, PREFIX_CHARS).alias("prefix"),
         F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(parts))).otherwise(F.lit(-1)).alias("salt"),
     )
-    # A string aggregate keeps Spark from hashing: it sorts by the whole key and compares neighbours.
+    # An aggregate of strings keeps Spark from hashing: it sorts by the whole key and compares neighbours.
     runs = salted.repartitionByRange(parts, "prefix", "hash", "salt").groupBy("prefix", "hash", "salt", "norm").agg(
-        F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.min(F.substring("norm", 1, 1)).alias("first_char"))
-    several = runs.where("n > 1 or salt >= 0").select(F.sha2("norm", 256).alias("text_sha256"), "keep_id", "n")
+        F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.min("norm").alias("text"))
+    several = runs.where("n > 1 or salt >= 0").select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "n")
     return several.groupBy("text_sha256").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size")).where("group_size > 1")
 
 

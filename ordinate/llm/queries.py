@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ordinate.llm.byte_bpe import encode_digests
 from ordinate.llm.exact_dedup import exact_dedup_groups
 from ordinate.llm.mixing import mix_sizes
+from ordinate.llm.token_counts import token_counts
 from ordinate.llm.url_filter import url_filter
 
 
@@ -23,12 +26,20 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op8_mix_sources)
+    f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_byte_bpe, op5_token_counts, op8_mix_sources)
 }
 
 ORACLES: dict[str, str] = {
