@@ -12,6 +12,7 @@ from ordinate.llm.exact_dedup import exact_dedup_groups
 from ordinate.llm.mixing import mix_sizes
 from ordinate.llm.token_counts import token_counts
 from ordinate.llm.url_filter import url_filter
+from ordinate.llm.warc import archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -39,7 +44,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_byte_bpe, op5_token_counts, op8_mix_sources)
+    f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_byte_bpe, op4_warc, op5_token_counts, op8_mix_sources)
 }
 
 ORACLES: dict[str, str] = {
@@ -60,6 +65,11 @@ ORACLES: dict[str, str] = {
                                   when com and starts_with(path, '/fr/') then 'com/fr/'
                                   when com and starts_with(path, '/de/') then 'com/de/' end as rule from f)
         select page_id, host, path, rule, case when rule in ('example.org/en/1', 'example.org/es/', 'com/de/') then 'block' else 'allow' end as verdict from r""",
+    "op4_warc": r"""
+        with p as (select page_id, coalesce(html, '') as html from pages),
+             g as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as payload_digest, max(page_id) over (partition by html) as top from p)
+        select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id < top then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 1000 and page_id < top then top end as refers_to from g""",
     "op8_mix_sources": r"""
         with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
                           ('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || ':17'), 1, 13))::bigint / 4503599627370496.0::double as toss from documents),
