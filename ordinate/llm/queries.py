@@ -11,6 +11,7 @@ from ordinate.llm.byte_bpe import encode_digests
 from ordinate.llm.exact_dedup import exact_dedup_groups
 from ordinate.llm.mixing import mix_sizes
 from ordinate.llm.token_counts import token_counts
+from ordinate.llm.toxicity import fitted, toxicity
 from ordinate.llm.url_filter import url_filter
 from ordinate.llm.warc import archive
 
@@ -39,12 +40,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_byte_bpe, op4_warc, op5_token_counts, op8_mix_sources)
+    f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_byte_bpe, op4_warc, op5_token_counts, op7_toxicity, op8_mix_sources)
 }
 
 ORACLES: dict[str, str] = {
