@@ -8,15 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ordinate.llm.byte_bpe import encode_digests
+from ordinate.llm.embedding_dedup import embedding_groups
 from ordinate.llm.exact_dedup import exact_dedup_groups
 from ordinate.llm.mixing import mix_sizes
 from ordinate.llm.token_counts import token_counts
 from ordinate.llm.toxicity import fitted, toxicity
 from ordinate.llm.url_filter import url_filter
 from ordinate.llm.warc import archive
+from ordinate.session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +43,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity(docs, fitted(docs, table(spark, sf_dir, "labels")))
@@ -50,7 +57,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_byte_bpe, op4_warc, op5_token_counts, op7_toxicity, op8_mix_sources)
+    f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_byte_bpe, op4_warc, op5_token_counts, op6_embedding_dedup, op7_toxicity, op8_mix_sources)
 }
 
 ORACLES: dict[str, str] = {
