@@ -12,6 +12,7 @@ from ordinate.llm.embedding_dedup import embedding_groups
 from ordinate.llm.exact_dedup import exact_dedup_groups
 from ordinate.llm.mixing import mix_sizes
 from ordinate.llm.near_dedup import near_groups
+from ordinate.llm.substring_dedup import repeated_passages
 from ordinate.llm.token_counts import token_counts
 from ordinate.llm.toxicity import fitted, toxicity
 from ordinate.llm.url_filter import url_filter
@@ -57,12 +58,16 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_byte_bpe, op4_warc, op5_token_counts, op6_embedding_dedup, op7_toxicity, op8_mix_sources, op10_near_dedup)
+    f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_byte_bpe, op4_warc, op5_token_counts, op6_embedding_dedup, op7_toxicity, op8_mix_sources, op9_substring_dedup, op10_near_dedup)
 }
 
 ORACLES: dict[str, str] = {
