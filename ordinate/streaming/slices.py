@@ -1,0 +1,75 @@
+"""Slices of streams: what can be told without the end of the input.
+
+Windows and strides need a counter, a range that stops short of the end a queue of as many rows as it leaves out. Tails
+and reversals need the end, which a stream does not have: take them from a table that the stream was written to.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ordinate.plans.modes import UsageError
+from ordinate.plans.ranges import Kind, Range, as_range
+
+
+def packed(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
+
+
+def slice_stream(stream: DataFrame, order_by: str, text: Range | str, by: Sequence[str] = ()) -> DataFrame:
+    """The rows of a stream at the positions of a range, in append mode.
+
+    Rows must come in the order of order_by from one micro-batch to the next (one ordered source, or a sequence column);
+    within a micro-batch they are sorted by it. by: columns whose groups are sliced each on its own, side by side; without
+    them a stream's positions are one sequence and one task counts them. Of a range with an end -m the last m rows so far
+    are held back, and are never given out if no more come.
+    """
+    r = as_range(text)
+    if r.kind is Kind.COPY:
+        return stream
+    if r.kind is Kind.EMPTY:
+        return stream.where(F.lit(False))
+    if r.kind in (Kind.TAIL, Kind.REVERSE):
+        raise UsageError(f"{r} depends on the end of the input: write the stream to a table and slice that")
+    names = stream.columns
+    start, step = r.start, r.step
+    held_back = -r.end if r.kind is Kind.LAG else 0
+    end = r.end if r.end is not None and r.end >= 0 else None
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, queue = state.get if state.exists else (0, None)
+        if end is not None and seen >= end:
+            return
+        rows = pd.concat(list(batches), ignore_index=True)[names].sort_values(order_by, kind="stable", ignore_index=True)
+        at = pd.RangeIndex(seen, seen + len(rows))
+        seen += len(rows)
+        chosen = (at >= start) & ((at - start) % step == 0)
+        if end is not None:
+            chosen &= at < end
+        out = rows[chosen]
+        if held_back:
+            out = out.assign(__at=at[chosen])
+            if queue is not None:
+                out = pd.concat([unpacked(bytes(queue)), out], ignore_index=True)
+            ready = out["__at"] < seen - held_back
+            queue = packed(out[~ready])
+            out = out[ready]
+        state.update((seen, queue))
+        yield out[names]
+
+    keyed = stream if by else stream.withColumn("__all", F.lit(0))
+    return keyed.groupBy(*(by or ["__all"])).applyInPandasWithState(count, stream.schema, "seen long, queue binary", "append", GroupStateTimeout.NoTimeout)
