@@ -61,9 +61,9 @@ for _name, _text in {
 }.items():
     add_rows(f"orders_rows_{_name}", "orders", ORDERS, ["o_orderkey"], _text)
 
-LINEITEM = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+LINEITEM = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 for _name, _text in {"head": ":2", "window": "1:3", "tail": "-2:", "tail_pair": "-3:-1", "reverse": "::-1", "reverse_stride": "-2::-2", "step": "::2"}.items():
-    add_rows(f"lineitem_group_{_name}", "lineitem", [*LINEITEM, "l_quantity"], LINEITEM[1:], _text, ("l_orderkey",))
+    add_rows(f"lineitem_group_{_name}", "lineitem", LINEITEM, LINEITEM[1:], _text, ("l_orderkey",))
 add_rows("lineitem_rows_deep_window", "lineitem", LINEITEM, LINEITEM, "20000:50000:3")
 add_rows("lineitem_group_skewed", "lineitem", LINEITEM, LINEITEM, "-400:-100:5", ("l_returnflag",), skewed=True)
 for _name, _text in {"lag": ":-5", "lag_step": "1:-2:2", "tail": "-3:"}.items():
