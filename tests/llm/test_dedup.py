@@ -1,0 +1,247 @@
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ordinate.llm import embedding_dedup, exact_dedup, graph, near_dedup, substring_dedup
+from tests.llm.data import near_texts
+
+DOCS = "doc_id long, text string, keep_id int, kept string"
+
+
+def components_of(nodes, links):
+    up = {n: n for n in nodes}
+
+    def top(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {n: top(n) for n in nodes}
+
+
+# Exact dedup.
+
+EXACT = [(5, "a b"), (3, "a \t b"), (9, "a\x0bb"), (1, "a  b "), (2, "A b"), (7, ""), (4, None), (8, " \n"), (6, " "), (None, "x"), (10, "x"), (11, "y" * 100_000), (12, "y" * 100_000 + "z"), (13, "a\xa0b")]
+
+
+def test_exact_groups(spark):
+    df = spark.createDataFrame([(i, t, 0, "clash") for i, t in EXACT], DOCS).repartition(3)
+    groups = {}
+    for i, t in EXACT:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append(i)
+    got = exact_dedup.exact_dedup_groups(df).collect()
+    assert len(got) == len(EXACT)
+    for r in got:
+        norm = next(n for n, ids in groups.items() if r.doc_id in ids)
+        keep = min((i for i in groups[norm] if i is not None), default=None)
+        assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (keep, len(groups[norm]), r.doc_id == keep, hashlib.sha256(norm.encode()).hexdigest())
+    kept = exact_dedup.exact_dedup(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(min(i for i in ids if i is not None) for ids in groups.values())
+
+
+def test_exact_hot_group_repeats_and_ties(spark):
+    rows = [(k, "hot text") for k in range(1000, 3000)] + [(k, f"text {k}") for k in range(50)] + [(7, "text 7"), (1000, "hot text")]
+    df = spark.createDataFrame([(i, t, 0, "") for i, t in rows], DOCS).repartition(5)
+    got = exact_dedup.exact_dedup_groups(df).collect()
+    assert len(got) == len(rows)
+    assert {(r.keep_id, r.group_size) for r in got if r.doc_id >= 1000} == {(1000, 2001)}
+    assert sum(r.kept for r in got if r.doc_id >= 1000) == 2  # the smallest identifier comes twice
+    assert {(r.keep_id, r.group_size, r.kept) for r in got if r.doc_id == 7} == {(7, 2, True)}
+
+
+def test_exact_empty(spark):
+    df = spark.createDataFrame([], DOCS)
+    assert exact_dedup.exact_dedup_groups(df).count() == 0 and exact_dedup.exact_dedup(df).count() == 0
+
+
+# Components.
+
+@pytest.mark.parametrize("links", [[], [(1, 1)], [(1, 2), (2, 3), (9, 8)], [(k, k + 1) for k in range(60)], [(k, 100) for k in range(99)], [(k, (k * 17 + 5) % 90) for k in range(0, 90, 2)]])
+def test_components(spark, links):
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    nodes = {n for a, b in links if a != b for n in (a, b)}
+    assert got == components_of(nodes, [x for x in links if x[0] != x[1]])
+
+
+# Embeddings.
+
+def brute_embeddings(rows):
+    good = [(i, np.asarray(v, dtype=float)) for i, v in rows if v is not None and i is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    x = np.array([v / np.abs(v).max() for _, v in good])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    ids = [i for i, _ in good]
+    component = components_of(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(near))])
+    return {i: (int(n), component[i], component[i] == i) for i, n in zip(ids, near.sum(axis=1))}
+
+
+@pytest.mark.parametrize("leaf, least", [(2048, 128), (16, 4)])
+def test_embeddings(spark, leaf, least, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LEAF", leaf)
+    monkeypatch.setattr(embedding_dedup, "LEAST", least)
+    r = np.random.default_rng(3)
+    base = r.normal(size=(12, 16))
+    rows = [(int(k), [float(np.float32(x)) for x in base[k % 12] + r.normal(size=16) * r.choice([0.05, 0.3, 1.0])]) for k in range(150)]
+    rows += [(200 + k, rows[0][1]) for k in range(9)] + [(300, [2 * x for x in rows[3][1]]), (301, [1e-30 * x for x in rows[4][1]])]
+    odd = [(400, None), (401, [0.0] * 16), (402, [float("nan")] + [1.0] * 15), (403, [float("inf")] + [1.0] * 15), (404, [None] + [1.0] * 15), (None, rows[0][1])]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows + odd], "vec_id long, embedding array<float>, links int, id int").repartition(4)
+    got = embedding_dedup.embedding_groups(df).collect()
+    want = brute_embeddings([(i, [float(np.float32(x)) for x in v]) for i, v in rows])
+    assert len(got) == len(rows) + len(odd)
+    for row in got:
+        assert (row.n_links, row.component_id, row.kept) == want.get(row.vec_id, (0, row.vec_id, True)), row.vec_id
+    kept = embedding_dedup.near_free(df)
+    assert kept.columns == df.columns
+    assert {x.vec_id for x in kept.collect()} == {i for i, w in want.items() if w[2]} | {i for i, _ in odd}
+
+
+def test_embeddings_of_nothing(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert embedding_dedup.embedding_groups(df).count() == 0
+    df = spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in embedding_dedup.embedding_groups(df).collect()] == [(1, 0, 1, True)]
+
+
+# Near duplicates.
+
+def brute_near(rows):
+    shingled, seen, links = {}, {}, []
+    for i, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        key = " ".join(words)
+        if key in seen:
+            links.append((i, seen[key]))
+            continue
+        seen[key] = i
+        counts = {}
+        for k in range(max(1, len(words) - 4) if words else 0):
+            run = tuple(words[k:k + 5])
+            counts[run] = counts.get(run, 0) + 1
+        shingled[i] = counts
+    ids = list(shingled)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            shared = sum(min(n, shingled[b].get(run, 0)) for run, n in shingled[a].items())
+            total = sum(shingled[a].values()) + sum(shingled[b].values()) - shared
+            if total and shared >= 0.8 * total:
+                links.append((a, b))
+    return components_of([i for i, _ in rows], links)
+
+
+@pytest.mark.parametrize("block", [256, 8])
+def test_near(spark, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rows = near_texts(260)
+    odd = [(900, None), (901, ""), (902, " \n"), (903, "one two"), (904, "one  two"), (905, "one"), (906, "la " * 400), (907, "la " * 420), (908, "la " * 600)]
+    df = spark.createDataFrame([(i, t, 1, "") for i, t in rows + odd] + [(None, rows[0][1], 1, "")], "doc_id long, text string, component int, id string").repartition(4)
+    got = near_dedup.near_groups(df).collect()
+    want = brute_near(rows + odd)
+    assert len(got) == len(want) + 1
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
+    kept = near_dedup.near_dedup(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(i for i, c in want.items() if c == i)
+
+
+def test_near_repeated_identifiers(spark):
+    a, b = "a b c d e f g h i j", "q w e r t y u i o p"
+    got = near_dedup.near_groups(spark.createDataFrame([(1, a), (1, a), (2, a), (2, b), (3, b)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False)]
+
+
+def test_near_empty(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert near_dedup.near_groups(df).count() == 0 and near_dedup.near_dedup(df).count() == 0
+
+
+def test_signatures_are_unbiased():
+    r = np.random.default_rng(7)
+    items = r.integers(0, 2 ** 63, 50, dtype=np.uint64)
+    a = r.integers(0, 9, 50)
+    b = np.maximum(0, a + r.integers(-2, 3, 50))
+    want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+    found = []
+    for k in range(120):
+        with np.errstate(over="ignore"):
+            x = near_dedup.mix(items + np.uint64(k * 104729))
+        found.append((near_dedup.signature(x[a > 0], a[a > 0]) == near_dedup.signature(x[b > 0], b[b > 0])).mean())
+    assert abs(np.mean(found) - want) < 5 * np.std(found) / len(found) ** 0.5
+
+
+# Repeated passages.
+
+def brute_passages(rows):
+    texts = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    seen = {}
+    for _, w in texts:
+        for k in range(len(w) - 34):
+            seen[tuple(w[k:k + 35])] = seen.get(tuple(w[k:k + 35]), 0) + 1
+    out = []
+    for i, w in texts:
+        gone = [False] * len(w)
+        for k in range(len(w) - 34):
+            if seen[tuple(w[k:k + 35])] > 1:
+                gone[k:k + 35] = [True] * 35
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        out.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_passages(spark, hot, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 2000)
+    r = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in r.integers(0, 3000, n)]
+    passage, other = word(60), word(35)
+    rows = []
+    for k in range(60):
+        body = word(int(r.integers(0, 200)))
+        if k % 3 == 0:
+            body += passage[: int(r.integers(30, 61))] + word(20)
+        if k % 7 == 0:
+            body = other + body
+        if k % 10 == 0:
+            body += body
+        rows.append((k, "\n".join(" ".join(body[j:j + 9]) for j in range(0, len(body), 9))))
+    rows += [(100, rows[3][1]), (100, rows[5][1]), (101, "la " * 34), (102, "la " * 35), (103, "ho " * 36), (104, None), (105, ""), (None, rows[9][1]), (106, " ".join(word(20_000)))]
+    rows += [(107, rows[2][1])] * 3
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, id int, mark int").repartition(4)
+    got = sorted((tuple(x) for x in substring_dedup.repeated_passages(df).collect()), key=str)
+    assert got == sorted(brute_passages(rows), key=str)
+    texts = substring_dedup.repeated_passages(df, texts=True).collect()
+    assert all(hashlib.sha256(x.kept_text.encode()).hexdigest() == x.kept_sha256 for x in texts)
+
+
+def test_passages_of_nothing(spark):
+    assert substring_dedup.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_known_passages_go(spark):
+    known = [f"k{x}" for x in range(50)]
+    df = spark.createDataFrame([(1, "a b " + " ".join(known[:40]) + " c"), (2, " ".join(known[:34])), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup.remove_known(df, [" ".join(known)]).collect()}
+    assert got == {1: (40, "a b c"), 2: (0, " ".join(known[:34])), 3: (0, "")}
+    with pytest.raises(ValueError, match="not broadcast"):
+        substring_dedup.remove_known(df, ["a b c"], most_words=2)
+
+
+def test_automaton_counts():
+    sequences = [("abcbc", 1), ("bcab", 2), ("", 1), ("aaaa", 1)]
+    automaton = substring_dedup.SuffixAutomaton(sequences)
+    for text in ("abcbcab", "aaaaa", "zbcz"):
+        for k, (n, count) in enumerate(automaton.matches(text, 3)):
+            best = max(m for m in range(min(3, k + 1) + 1) if m == 0 or any(text[k + 1 - m:k + 1] in s for s, _ in sequences))
+            assert n == best
+            if n:
+                sub = text[k + 1 - n:k + 1]
+                assert count == sum(w * sum(s.startswith(sub, j) for j in range(len(s))) for s, w in sequences)

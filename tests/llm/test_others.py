@@ -1,0 +1,203 @@
+import binascii
+import gzip
+import hashlib
+import io
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ordinate.llm import mixing, toxicity, url_filter, warc
+
+
+# URL filters.
+
+URLS = [
+    (1, "http://www.Example.ORG/es/x?q#f"), (2, "https://example.org/en/1abc"), (3, "https://a.org"), (4, "https://a.org/"), (5, "https://a.com/fr/1"), (6, "http://b.com/de/"), (7, "http://b.com/de"),
+    (8, "http://com/de/x"), (9, None), (10, ""), (11, "no scheme.org/"), (12, "x://notexample.org/es/"), (13, "http://example.org./es/"), (14, "http://org?/"), (15, "a://b://c.org/"), (16, "http://ÄB.org/p#a?b"),
+    (17, "http://example.org/en/2"), (18, "http://" + "a." * 5000 + "org/" + "x/" * 20_000), (None, "http://a.com/de/"), (1, "http://x.net/es/"),
+]
+
+
+def slow(url):
+    host, path = url_filter.split_url(url)
+    fits = [(r[1].count("."), len(r[1] + r[2]), r[0] == "block", r) for r in url_filter.RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+    best = max(fits)[3] if fits else None
+    return host, path, best and best[1] + best[2], best[0] if best else "allow"
+
+
+def test_urls(spark):
+    df = spark.createDataFrame([(i, u, "clash") for i, u in URLS], "page_id long, url string, host string").repartition(3)
+    got = url_filter.url_filter(df).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(str((i, *slow(u))) for i, u in URLS)
+    assert {(r.host, r.path) for r in got if r.page_id == 2} == {("example.org", "/en/1abc")}
+    kept = url_filter.allowed(df, url_filter.RULES)
+    assert kept.columns == df.columns and kept.count() == sum(slow(u)[3] == "allow" for _, u in URLS)
+    assert url_filter.url_filter(df.limit(0)).count() == 0
+    assert {r.verdict for r in url_filter.url_filter(df, []).collect()} == {"allow"}
+
+
+def test_precedence(spark, monkeypatch):
+    rules = [("allow", "a.com", "/x"), ("block", "a.com", "/x"), ("block", "com", "/x/long/path"), ("allow", "b.a.com", "/x/"), ("block", "a.com", "/x/lo"), ("allow", "a.com", ""), ("block", "net", "")]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(["h://a.com/x", "h://b.a.com/x/long/path", "h://a.com/x/long/path", "h://a.com/y", "h://a.com", "h://z.net", "h://q.com/x/long/paths"])], "page_id long, url string")
+    want = ["block", "allow", "block", "allow", "allow", "block", "block"]
+    for most in (500_000, 2):
+        monkeypatch.setattr(url_filter, "MAX_RULES", most)
+        assert [r.verdict for r in url_filter.url_filter(df, rules).orderBy("page_id").collect()] == want
+
+
+# WARC.
+
+PAGES = [(1, "http://a/", "x" * 1000), (2, "http://b/ c\n", "x" * 1000), (7, None, "x" * 1000), (7, "", "x" * 1000), (3, "http://d", "x" * 999), (4, "http://e", "x" * 999), (5, "http://f", None), (6, "http://g", ""),
+         (8, "http://h", "é\r\n\r\nWARC/1.1\r\n" * 100), (9, "http://i", "é\r\n\r\nWARC/1.1\r\n" * 100), (-5, "http://j", "filedesc://" + "\n" * 1200), (None, "http://k", "y" * 2000), (10, "http://l", "y" * 2000), (2 ** 62, "http://m", "z" * 200_000)]
+
+
+def test_archives(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MAX_RECORDS", 3)
+    df = spark.createDataFrame([(i, u, h, "clash") for i, u, h in PAGES], "page_id long, url string, html string, digest string").repartition(3)
+    want = []
+    for i, _, h in PAGES:
+        data = (h or "").encode()
+        top = max(j for j, _, g in PAGES if j is not None and (g or "") == (h or ""))
+        revisit = len(data) >= 1000 and i != top
+        want.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", top if revisit else None))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in warc.archive(df).collect())
+    assert warc.archive(df.limit(0)).count() == 0
+
+
+def test_files(spark, tmp_path):
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(2)
+    arc, out = f"file://{tmp_path}/arc", f"file://{tmp_path}/warc"
+    warc.write_arc(df, arc)
+    texts = [gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "arc").glob("*.gz"))]
+    assert {t.split(b"\n")[1][:1] for t in texts} == {b"1", b"2"}
+    assert sum(len(list(warc.arc_records(io.BytesIO(t)))) for t in texts) == len(PAGES)
+    warc.convert(spark, arc, out)
+    records = [r for p in sorted((tmp_path / "warc").glob("*.gz")) for r in warc.warc_records(gzip.open(p))]
+    assert sorted(f["warc-type"] for f, _ in records).count("warcinfo") == len(texts)
+    for fields, block in records:
+        assert fields["warc-date"] == "2024-01-01T00:00:00Z"
+        if fields["warc-type"] == "response":
+            assert block.startswith(b"HTTP/1.1 200 OK\r\n") and fields["content-length"] == str(len(block))
+
+
+def test_legacy_headers():
+    one = b"filedesc://a 0.0.0.0 19990101000000 text/plain 76\n1 0 x\nURL IP-address Archive-date Content-type Archive-length\n" + b"\n" * 14 + b"\nhttp://a b/ 1.2.3.4 19990102030405 text/html 5\nhello\n\nhttp://c 1.2.3.4 19990102030405 text/html 0\n\n"
+    found = list(warc.arc_records(io.BytesIO(one)))
+    assert [(f["URL"], f["Archive-date"], c) for f, c in found] == [("http://a b/", "19990102030405", b"hello"), ("http://c", "19990102030405", b"")]
+    with pytest.raises(ValueError, match="ends early"):
+        list(warc.arc_records(io.BytesIO(one[:-30].rstrip() + b" 99\nshort")))
+    for page in (None, 0, 5, -1, 2 ** 63 - 1, -(2 ** 63)):
+        assert warc.page_of(warc.record_id(page)) == page
+
+
+# Mixing.
+
+def brute_targets(sizes, weights=(5, 2, 1), cap=3):
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    total, full = sum(sizes.values()), set()
+    while True:
+        rest = [s for s in names if s not in full]
+        left = total - sum(cap * sizes[s] for s in full)
+        share = {s: left * weight[s] / sum(weight[x] for x in rest) for s in rest}
+        over = {s for s in rest if share[s] > cap * sizes[s]}
+        if not over:
+            return {s: cap * sizes[s] if s in full else share[s] for s in names}
+        full |= over
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mix(spark, seed):
+    r = np.random.default_rng(seed)
+    rows = [(int(k), " ".join("w" * int(r.integers(1, 40))) if r.random() > 0.05 else None, None if s == 5 else f"s{s}é") for k, s in enumerate(r.choice(9, 900, p=[0.4, 0.3, 0.1, 0.05, 0.05, 0.04, 0.03, 0.02, 0.01]))]
+    rows += [(5000, "", "nothing"), (None, "a b c", "s0é"), (7, rows[7][1], rows[7][2])]
+    df = spark.createDataFrame([(i, t, s, 1) for i, t, s in rows], "doc_id long, text string, source string, size int").repartition(4)
+    got = mixing.mix_sizes(df).collect()
+    assert len(got) == len(rows)
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    want = brute_targets(sizes)
+    taken = {}
+    source = {i: s for i, _, s in rows}
+    for x in got:
+        s = source[x.doc_id]
+        assert x.source_size == sizes[s] and x.target == pytest.approx(want[s])
+        rate = want[s] / sizes[s] if sizes[s] else 0
+        assert x.taken in (int(rate) * x.size, int(np.ceil(rate)) * x.size) and x.taken <= 3 * x.size
+        taken[s] = taken.get(s, 0) + x.taken
+    for s, n in sizes.items():
+        spread = 5 * (sum(len((t or "").split()) ** 2 for _, t, x in rows if x == s)) ** 0.5 / 2
+        assert abs(taken[s] - want[s]) <= spread
+    again = mixing.mix_sizes(df.repartition(7)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    copies = mixing.mix(df)
+    assert copies.columns == df.columns
+    assert copies.agg(F.sum(mixing.words("text"))).first()[0] == sum(taken.values())
+
+
+def test_mix_of_nothing(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert mixing.mix_sizes(df).count() == 0 and mixing.mix(df).count() == 0
+    df = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
+    assert sorted(tuple(r) for r in mixing.mix_sizes(df).collect()) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+
+
+# Toxicity.
+
+def texts(n, seed):
+    r = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        words = [f"w{x}" for x in r.integers(0, 400, int(r.integers(5, 200)))]
+        toxic = int(r.random() < 0.2)
+        if toxic:
+            for _ in range(max(2, len(words) // 30)):
+                words[int(r.integers(0, len(words)))] = str(r.choice(["dolt", "oaf", "nitwit", "lowlife" + "xyz"[k % 3]]))
+        rows.append((k, " ".join(words), toxic))
+    return rows
+
+
+def test_toxicity_on_rows_held_out(spark):
+    rows = texts(1500, 1)
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t, _ in rows] + [(None, "x", 0.1), (9000, None, 0.1), (9001, "", 0.1), (3, rows[3][1], 0.2), (9002, "dolt " * 50_000, 0.1)], "doc_id long, text string, score double").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (1, None), (777_777, 1)], "doc_id long, toxic int")
+    model = toxicity.fitted(docs, labels)
+    got = toxicity.toxicity(docs, model).collect()
+    assert len(got) == docs.count() and {r.score >= 0.3 for r in got if r.predicted} == {True}
+    out = {r.doc_id: r for r in got}
+    assert all(r.held_out == (r.doc_id is not None and binascii.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [(out[i].predicted, y) for i, _, y in rows if out[i].held_out]
+    assert len(held) > 250 and sum(p == y for p, y in held) / len(held) > 0.95
+    assert out[9000].score == out[9001].score and out[9001].predicted == 0 and out[9002].predicted == 1
+    assert all(0 <= r.score <= 1 for r in got)
+    kept = toxicity.without_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted == 0 for r in got)
+    assert toxicity.toxicity(docs.limit(0), model).count() == 0
+
+
+def test_held_out_labels_are_not_learned_from(spark):
+    rows = texts(400, 2)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    held = {i for i, _, _ in rows if binascii.crc32(str(i).encode()) % 4 == 2}
+    one = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    two = spark.createDataFrame([(i, 1 - y if i in held else y) for i, _, y in rows], "doc_id long, toxic int")
+    scores = [sorted(tuple(r) for r in toxicity.toxicity(docs, toxicity.fitted(docs, labels)).collect()) for labels in (one, two)]
+    assert scores[0] == scores[1]
+
+
+def test_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    model = toxicity.fitted(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert [(r.score, r.predicted) for r in toxicity.toxicity(docs, model).collect()] == [(0.0, 0)] * 2
+
+
+def test_isotonic():
+    fit = toxicity.Isotonic().fit(np.array([1.0, 2, 3, 4, 4]), np.array([0.0, 1, 0, 1, 0]), np.ones(5))
+    p = fit.predict(np.array([0.0, 1, 2, 3, 4, 9]))
+    assert (np.diff(p) >= 0).all() and p[0] == 0 and p[2] == p[3] == p[4] == 0.5
+
+
+def test_undone():
+    assert toxicity.undone("1d10t") == "idiot" and toxicity.undone("m0r*on") == "moron" and toxicity.undone("looooser") == "loser"
