@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ordinate.llm.shared import ship
+
 #: Matches whose ids a worker remembers; then it forgets all and starts again.
 MEMO = 500_000
 
@@ -173,6 +175,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, ids (array of int). Null texts count as empty; bytes that are no UTF-8 as U+FFFD."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(codec(path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +191,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Per row: doc_id, bytes (the decoded ids; null ids decode to no bytes)."""
+    ship(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in load_ranks(path).items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +209,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     Null texts count as empty: no tokens, digests of no bytes. Rows are independent of each other, so repeated rows and
     identifiers, null identifiers, other columns and empty tables change nothing; a text is taken in blocks of matches.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(codec(path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

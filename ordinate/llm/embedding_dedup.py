@@ -15,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordinate.llm.graph import components
-from ordinate.llm.shared import small_or_shuffled, stored
+from ordinate.llm.shared import ship, small_or_shuffled, stored
 
 #: Vectors that the principal dimensions are fitted on; any orthonormal directions give the same result.
 SAMPLE = 4000
@@ -107,8 +107,6 @@ def intervals(rows: DataFrame) -> DataFrame:
 def numbered(leaves: DataFrame) -> DataFrame:
     """leaves with their number in the sequence. There is one row a leaf, and parts are counted, not gathered."""
     counts = leaves.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
     starts = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     return leaves.join(small_or_shuffled(starts), "part").withColumn("node", (F.col("start") + F.col("leaf")).cast("bigint")).drop("start", "part", "leaf")
 
@@ -227,6 +225,7 @@ def embedding_groups(vectors: DataFrame, similarity: float = 0.9, id_col: str =
     most are an error of the numpy reshape and must be split off before. Rows that repeat an identifier count as vectors of
     their own with one identifier; a null identifier links with nothing. An empty table gives no rows; other columns are not read.
     """
+    ship(vectors.sparkSession)
     radius = float(np.sqrt(2 - 2 * similarity)) * (1 + 1e-9) + 1e-9
     kind = dict(vectors.dtypes)[vector_col]
     keyed = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.when(usable(vector_col) & F.col(id_col).isNotNull(), F.col(vector_col)).alias("v")).withColumns(
@@ -235,7 +234,7 @@ def embedding_groups(vectors: DataFrame, similarity: float = 0.9, id_col: str =
     rows = keyed.select("vec_id", "h1", "h2")
     if distinct.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    leaves = stored(numbered(stored(intervals(grid(distinct, directions(distinct), radius)), "leaves")), "leaves")
+    leaves = numbered(stored(intervals(grid(distinct, directions(distinct), radius)), "leaves"))
     found = stored(linked(near_leaves(leaves, radius), leaves, similarity, radius, kind), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.where("id <> other").select(F.col("id").alias("u"), F.col("other").alias("v")))

@@ -1,13 +1,14 @@
-"""What the operators share: the shared folder, word and white-space rules, checked broadcasts."""
+"""What the operators share: the folder for tables between steps, word and white-space rules, checked broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ordinate.session import shared_path, ship, stored
+
+__all__ = ["SPACE", "WORD", "shared_path", "ship", "shuffle_partitions", "small_or_shuffled", "stored", "text_or_empty"]
+
 #: White space and words of the contracts: ASCII only.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,31 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ordinate-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage, outlives executors, and its size is known to the planner."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df (stored, narrow), marked for broadcast if it was counted to be small; else Spark shuffles the join and splits its skew."""
     return F.broadcast(df) if df.count() <= rows else df

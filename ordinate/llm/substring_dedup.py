@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordinate.llm.shared import small_or_shuffled, stored
+from ordinate.llm.shared import ship, small_or_shuffled, stored
 
 LENGTH = 35
 GRAM = 18
@@ -270,6 +270,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keep all. Rows that repeat an identifier are texts of their own, and a repeated row makes all its windows repeated. A
     null identifier is an identifier like others. An empty table gives no rows; other columns are not read.
     """
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     # A set: it has the places of one text at most, however often the row is repeated.
     windows = repeated_windows(docs, id_col, text_col)
@@ -318,6 +319,7 @@ def remove_known(docs: DataFrame, reference: list[str], length: int = LENGTH, id
             size = 0
         shards[-1].append((hashed(words).tolist(), 1))
         size += len(words)
+    ship(docs.sparkSession)
     sent = [docs.sparkSession.sparkContext.broadcast(s) for s in shards]
     kind = dict(docs.dtypes)[id_col]
 

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ordinate.llm.shared import ship
+
 #: States a worker keeps.
 STATES = 300_000
 
@@ -326,6 +328,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     Null texts count as empty; special strings in a text count as one token each, as the tokenizer's default has it. Rows
     are independent of each other, so repeated rows, null identifiers, other columns and empty tables change nothing.
     """
+    ship(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(Transducer(f.read()))
 

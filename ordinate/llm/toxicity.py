@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ordinate.llm.shared import ship
+
 #: Labelled rows of each class, and bytes of a text, that training takes at most. Rows are taken by a hash of their identifier.
 SAMPLE_PER_CLASS = 4000
 SAMPLE_BYTES = 1 << 16
@@ -254,6 +256,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Null and empty texts have no words and get the score that zeros give. A null identifier is not held out. Rows are
     scored one by one, so repeated rows, other columns and empty tables change nothing.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,6 +272,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text is not predicted toxic."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -2,6 +2,9 @@
 
 A node per host label, from the top-level domain down; below the node of a rule's host, a node per path segment. The
 most host labels win, then the longest path; of an allow and a block entry for the same host and path, block wins.
+
+A list of more than MAX_RULES rules is not broadcast: each url is joined with the rules by its host's suffixes and its
+path's leading segments, as many as the rules have, and the same precedence picks among those that fit.
 """
 
 from __future__ import annotations
@@ -12,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most rules that are broadcast as one trie, some 200 MB; larger lists go through further tries in turn.
+from ordinate.llm.shared import ship, stored
+
+#: Most rules that are broadcast as a trie, some 200 MB.
 MAX_RULES = 500_000
 
 #: Rules of the registered query: verdict, host, path.
@@ -79,13 +84,6 @@ class Trie:
         return best
 
 
-def longer(a: tuple[str, str] | None, b: tuple[str, str] | None) -> tuple[str, str] | None:
-    if a is None or b is None:
-        return a or b
-    rank = lambda r: (r[1].partition("/")[0].count("."), len(r[1]), r[0] == "block")
-    return max(a, b, key=rank)
-
-
 def url_filter(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """Per row: page_id, host, path, rule (null if none fits), verdict (the rule's, else the default).
 
@@ -94,39 +92,57 @@ def url_filter(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     """
     rules = list(rules)
     spark = pages.sparkSession
-    tries = [spark.sparkContext.broadcast(Trie(rules[k:k + MAX_RULES])) for k in range(0, len(rules), MAX_RULES)]
+    ship(spark)
+    kind = dict(pages.dtypes)[id_col]
+    if len(rules) > MAX_RULES:
+        return by_join(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), spark.createDataFrame(rules, "verdict string, rule_host string, rule_path string"), default)
+    trie = spark.sparkContext.broadcast(Trie(rules))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, paths, found, verdicts = [], [], [], []
             for url in batch.column(1).to_pylist():
                 host, path = split_url(url)
-                best = None
-                for trie in tries:
-                    best = longer(best, trie.value.find(host, path))
+                best = trie.value.find(host, path)
                 hosts.append(host)
                 paths.append(path)
                 found.append(best[1] if best else None)
                 verdicts.append(best[0] if best else default)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in (hosts, paths, found, verdicts))], names=["page_id", "host", "path", "rule", "verdict"])
 
-    kind = dict(pages.dtypes)[id_col]
     return pages.select(id_col, url_col).mapInArrow(judge, f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
-def allowed(pages: DataFrame, rules: Iterable[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """The rows of pages, all columns, whose url is allowed."""
+def by_join(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+    """url_filter() for rules (verdict, rule_host, rule_path) of any number; pages are (page_id, url)."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    url = F.coalesce("url", F.lit(""))
+    urls = pages.select("url").distinct().withColumns({"host": F.translate(F.regexp_extract(url, "://([^/?#]*)", 1), upper, lower), "path": F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1)})
+    labels, segments = F.split("rule_host", r"\."), F.split("rule_path", "/")
+    keyed = rules.withColumns({"labels": F.size(labels), "depth": F.size(segments) - 1}).withColumn("whole", F.array_join(F.slice(segments, 1, F.col("depth")), "/"))
+    keyed = stored(keyed, "rules")
+    most = keyed.agg(F.max("labels").alias("labels"), F.max("depth").alias("depth")).first()
+    host, path = F.split("host", r"\."), F.split("path", "/")
+    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(host), F.lit(most["labels"]))), lambda k: F.array_join(F.slice(host, -k, k), ".")))
+    prefix = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.size(path) - 1, F.lit(most["depth"]))), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(path, 1, k), "/").alias("whole"))))
+    tried = urls.withColumn("rule_host", suffix).withColumn("p", prefix).select("url", "path", "rule_host", "p.depth", "p.whole")
+    fits = tried.join(keyed, ["rule_host", "depth", "whole"]).where(F.startswith("path", "rule_path"))
+    best = fits.groupBy("url").agg(F.max(F.struct("labels", F.length("rule_path").alias("length"), (F.col("verdict") == "block").alias("block"), "verdict", F.concat("rule_host", "rule_path").alias("rule"))).alias("best"))
+    judged = urls.join(best, "url", "left").select(F.col("url").alias("__url"), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return pages.join(judged, pages["url"].eqNullSafe(judged["__url"])).select("page_id", "host", "path", "rule", "verdict")
+
+
+def allowed(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url_col: str = "url") -> DataFrame:
+    """The rows of pages, all columns, whose url is allowed by a list of at most MAX_RULES rules."""
     rules = list(rules)
-    spark = pages.sparkSession
-    tries = [spark.sparkContext.broadcast(Trie(rules[k:k + MAX_RULES])) for k in range(0, len(rules), MAX_RULES)]
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules: join the verdicts of url_filter()")
+    ship(pages.sparkSession)
+    trie = pages.sparkSession.sparkContext.broadcast(Trie(rules))
 
     @F.pandas_udf("boolean")
     def fits(urls):
-        def one(url):
-            best = None
-            for trie in tries:
-                best = longer(best, trie.value.find(*split_url(url)))
-            return best is None or best[0] == "allow"
-        return urls.map(one)
+        found = urls.map(lambda url: trie.value.find(*split_url(url)))
+        return found.map(lambda best: best is None or best[0] == "allow")
 
     return pages.where(fits(F.col(url_col)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinate.llm.shared import shared_path, small_or_shuffled, stored, text_or_empty
+from ordinate.llm.shared import shared_path, ship, small_or_shuffled, stored, text_or_empty
 
 MAX_RECORDS = 10_000
 BATCH_BYTES = 4 << 20
@@ -136,6 +136,7 @@ def batched(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], s
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
+    ship(spark)
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
 
 

@@ -35,6 +35,8 @@ def test_urls(spark):
     assert kept.columns == df.columns and kept.count() == sum(slow(u)[3] == "allow" for _, u in URLS)
     assert url_filter.url_filter(df.limit(0)).count() == 0
     assert {r.verdict for r in url_filter.url_filter(df, []).collect()} == {"allow"}
+    rules = spark.createDataFrame(url_filter.RULES, "verdict string, rule_host string, rule_path string")
+    assert sorted(str(tuple(r)) for r in url_filter.by_join(df.select("page_id", "url"), rules).collect()) == sorted(str(tuple(r)) for r in got)
 
 
 def test_precedence(spark, monkeypatch):

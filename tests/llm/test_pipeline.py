@@ -1,0 +1,66 @@
+"""The pipeline's stages, each on what the one before it kept, against plain Python."""
+
+import hashlib
+import re
+from pathlib import Path
+
+import public_tokenizers
+import pytest
+import tiktoken
+
+import corpus_pipeline
+from ordinate.llm import byte_bpe, mixing, toxicity
+from tests.llm.test_dedup import brute_near
+from tests.llm.test_others import brute_targets
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    columns = docs.columns
+    kept = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        kept[name] = [tuple(r) for r in docs.collect()], None
+        out = stage(spark, docs, FOLDER)
+        assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == columns
+        out.write.parquet(f"file://{tmp_path}/{k}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{k}")
+        kept[name] = kept[name][0], sorted(tuple(r) for r in docs.collect())
+
+    rows, out = kept["toxicity"]
+    first = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = toxicity.fitted(first, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    toxic = {r.doc_id for r in toxicity.toxicity(first, model).where("predicted = 1").collect()}
+    assert out == sorted(r for r in rows if r[0] not in toxic)
+
+    rows, out = kept["exact_dedup"]
+    smallest = {}
+    for r in sorted(rows):
+        smallest.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or ""), r)
+    assert out == sorted(smallest.values())
+
+    rows, out = kept["near_dedup"]
+    component = brute_near([(r[0], r[1]) for r in sorted(rows)])
+    assert out == sorted(r for r in rows if component[r[0]] == r[0])
+
+    rows, out = kept["mix_sources"]
+    source, size = columns.index("source"), lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    sizes = {}
+    for r in rows:
+        sizes[r[source]] = sizes.get(r[source], 0) + size(r)
+    target = brute_targets(sizes)
+    want = []
+    for r in rows:
+        rate = target[r[source]] / sizes[r[source]] if sizes[r[source]] else 0
+        toss = int(hashlib.md5(f"{r[0]}:{mixing.SEED}".encode()).hexdigest()[:13], 16) / 2 ** 52
+        want += [r] * (int(rate) + (toss < rate - int(rate)))
+    assert out == sorted(want)
+
+    rows, out = kept["byte_bpe"]
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert out == sorted((r[0], len(ids := library.encode_ordinary(r[1] or "")), sha(" ".join(map(str, ids)).encode()), sha((r[1] or "").encode())) for r in rows)
+
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, FOLDER).collect()) == out
