@@ -1,10 +1,11 @@
 """Near-duplicate texts by BagMinHash: signatures of weighted sets whose agreement is an unbiased estimate of their weighted
 Jaccard similarity, bands of the signatures as buckets, and a check of the multisets of word shingles.
 
-Texts of the same words are one text. In each bucket every text is first held against the smallest one only, which ties
-nearly all of a large group together. Where a bucket then still has texts of several components, those outside its largest
-component are held against all texts of other components, in blocks of bounded size. Only pairs whose signatures agree are
-passed on, and these are checked on their texts.
+Texts of the same words are one text. In each bucket every text is first held against one only, the one that shares most
+buckets with others, which ties most of a large group together. Where a bucket then still has texts of several components,
+those outside its largest component are held against all texts of other components, in blocks of bounded size: pairs whose
+signatures agree, and whose runs that no other text has leave room for the similarity, are checked there on their runs, and
+a block gives a spanning forest of the links that it finds, not every link.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordinate.llm.graph import components
-from ordinate.llm.shared import WORD, small_or_shuffled, stored
+from ordinate.llm.shared import WORD, ship, small_or_shuffled, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -27,8 +28,9 @@ BANDS, ROWS = 32, 5  # at similarity 0.8 a pair shares no bucket with probabilit
 REGISTERS = BANDS * ROWS
 #: Share of registers below which a pair is not checked: five standard deviations under the similarity.
 AGREE = 0.64
-#: Texts of a block of a bucket.
+#: Texts of a block of a bucket, and runs of words in it.
 BLOCK = 256
+BLOCK_RUNS = 1_000_000
 
 MIX1, MIX2, MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 WORDS = re.compile(WORD)
@@ -118,24 +120,29 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return shared / total if total else 1.0
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+
+
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h1, h2, signature): h1 and h2 are the same for texts of the same words."""
+    """(id, h1, h2, signature, runs): runs is the number of shingles; h1 and h2 are the same for texts of the same words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                h1, h2, signatures = [], [], []
+                h1, h2, signatures, runs = [], [], [], []
                 for value in part.column(1):
                     text = (value.as_py() or b"").decode("utf-8", "replace")
                     whole = xxhash.xxh3_128_digest(" ".join(WORDS.findall(text)))
                     h1.append(int.from_bytes(whole[:8], "big", signed=True))
                     h2.append(int.from_bytes(whole[8:], "big", signed=True))
-                    signatures.append(signature(*shingles(text)).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(signatures, pa.binary())], names=["id", "h1", "h2", "signature"])
+                    items, counts = shingles(text)
+                    signatures.append(signature(items, counts).tobytes())
+                    runs.append(int(counts.sum()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(signatures, pa.binary()), pa.array(runs, pa.int64())], names=["id", "h1", "h2", "signature", "runs"])
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, signature binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "id bigint, h1 bigint, h2 bigint, signature binary, runs bigint")
 
 
 def banded(texts: DataFrame) -> DataFrame:
@@ -182,25 +189,64 @@ def alike(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Data
             mask = pa.array(kept, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    texts = texts.join(small_or_shuffled(wanted), "id")
+    texts = _texts(docs, id_col, text_col).join(small_or_shuffled(wanted), "id")
     both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def blocks_left(buckets: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket and two components whose signatures agree, of buckets of three texts or more.
+def common_runs(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, own): how many of its runs each of the texts has that no other one of them has; texts without such are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                found = [shingles((v.as_py() or b"").decode("utf-8", "replace")) for v in part.column(1)]
+                sizes = [len(f[0]) for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column(0)), sizes)), pa.array(np.concatenate([f[0] for f in found]).view(np.int64)), pa.array(np.concatenate([f[1] for f in found]))], names=["id", "item", "n"])
+
+    texts = _texts(docs, id_col, text_col).join(small_or_shuffled(ids), "id")
+    alone = texts.mapInArrow(run, "id bigint, item bigint, n bigint").groupBy("item").agg(F.min("id").alias("id"), F.max("id").alias("other"), F.min("n").alias("n")).where("id = other")
+    return alone.groupBy("id").agg(F.sum("n").alias("own"))
+
+
+def _runs(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, items, counts) of shingles() of the texts, as bytes; counts are empty if all are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles((v.as_py() or b"").decode("utf-8", "replace")) for v in batch.column(1)]
+            counts = [b"" if (c == 1).all() else c.astype(np.int32).tobytes() for _, c in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array(counts, pa.binary())], names=["id", "items", "counts"])
+
+    texts = _texts(docs, id_col, text_col).join(small_or_shuffled(ids), "id")
+    return texts.mapInArrow(run, "id bigint, items binary, counts binary").dropDuplicates(["id"])
+
+
+def blocks_left(buckets: DataFrame, groups: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) that tie components of a bucket together, of buckets of three texts or more.
 
     A bucket's texts are its largest component's and others. Blocks of others meet all blocks, so a text of the largest
-    component is copied once for each block of others, never for one of its own.
+    component is copied once for each block of others, never for one of its own. Of x runs and y runs with at most m in
+    common a similarity is at most m / (x + y - m), and a text's own runs are not in common with any: a text whose own
+    runs are over a fifth has no partner and drops out. A pair is looked at in the first of the buckets that it shares.
     """
     member = buckets.where("n > 2").select("key", "id").join(small_or_shuffled(groups.withColumnRenamed("node", "id")), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     member = stored(member, "members")
-    sizes = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    open_keys = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("most")).where("all > most.n")
-    open_keys = stored(open_keys.select("key", F.col("most.component").alias("largest"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("own"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("others")), "open")
-    rows = member.join(small_or_shuffled(open_keys), "key")
+    open_keys = stored(member.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key"), "open")
+    member = stored(member.join(small_or_shuffled(open_keys), "key"), "members")
+    ids = stored(member.select("id").distinct(), "ids")
+    own = stored(common_runs(ids, docs, id_col, text_col), "own-runs")
+    room = texts.join(small_or_shuffled(ids), "id").join(small_or_shuffled(own), "id", "left").select("id", "signature", "runs", (F.col("runs") - F.coalesce("own", F.lit(0))).alias("common"))
+    room = stored(room.where(F.col("common") >= SIMILARITY * F.col("runs")), "room")
+    member = stored(member.join(small_or_shuffled(room.select("id", "runs")), "id"), "members")
+    sizes = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("runs").alias("runs"))
+    open_keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum("runs").alias("runs"), F.max(F.struct("n", "component", "runs")).alias("most")).where("n > most.n")
+    blocks = lambda n, runs: F.greatest(F.ceil(n / BLOCK), F.ceil(runs / BLOCK_RUNS)).cast("int")
+    most = F.col("most")
+    open_keys = stored(open_keys.select("key", most["component"].alias("largest"), blocks(most["n"], most["runs"]).alias("own"), blocks(F.col("n") - most["n"], F.col("runs") - most["runs"]).alias("others")), "open")
+    rows = member.drop("runs").join(small_or_shuffled(open_keys), "key")
     other = F.col("component") != F.col("largest")
     place = F.pmod(F.xxhash64("id"), F.when(other, F.col("others")).otherwise(F.col("own"))).cast("int")
     rows = rows.withColumns({"other": other, "place": place})
@@ -208,34 +254,50 @@ def blocks_left(buckets: DataFrame, groups: DataFrame, texts: DataFrame) -> Data
     among = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: F.struct(F.least(k, F.col("place")).alias("i"), F.greatest(k, F.col("place")).alias("j")))
     against = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda k: F.struct(F.col("place").alias("i"), (-1 - k).alias("j")))
     copies = F.when(F.col("other"), F.concat(among, against)).otherwise(F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: F.struct(k.alias("i"), (-1 - F.col("place")).alias("j"))))
-    dealt = rows.join(texts.select("id", "signature"), "id").withColumn("at", F.explode(copies)).select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "id", "component", "other", "place", "signature")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def meet(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, comp = (np.asarray(rows.column(c).combine_chunks()) for c in ("id", "component"))
-        other, place = (rows.column(c).to_numpy() for c in ("other", "place"))
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    dealt = rows.withColumn("at", F.explode(copies)).select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "id", "component", "other", "place")
+    content = stored(room.join(_runs(stored(rows.select("id").distinct(), "ids"), docs, id_col, text_col), "id"), "contents")
+    dealt = dealt.join(content, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def meet(rows: pa.Table) -> list[tuple[int, int]]:
+        ids, label = (np.array(rows.column(c).combine_chunks()) for c in ("id", "component"))
+        other, place, runs, common = (rows.column(c).to_numpy() for c in ("other", "place", "runs", "common"))
+        key, i, j = (rows.column(c)[0].as_py() for c in ("key", "i", "j"))
         left = np.flatnonzero(other & (place == i))
         right = np.flatnonzero(~other) if j < 0 else np.flatnonzero(other & (place == j))
         s = table(rows.column("signature").combine_chunks())
-        a, b = [], []
+        band = int(np.flatnonzero(bands(s[:1])[0] == key)[0])
+        items, counts = rows.column("items"), rows.column("counts")
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def content(k: int) -> tuple[np.ndarray, np.ndarray]:
+            if k not in held:
+                x = np.frombuffer(items[k].as_py(), dtype=np.uint64)
+                held[k] = x, np.frombuffer(counts[k].as_py(), dtype=np.int32) if counts[k].as_py() else np.ones(len(x), dtype=np.int32)
+            return held[k]
+
+        links = []
         for x in left:
-            y = right[comp[right] != comp[x]]
-            y = y[(s[y] == s[x]).mean(axis=1) >= AGREE]
-            a.append(np.minimum(ids[x], ids[y]))
-            b.append(np.maximum(ids[x], ids[y]))
-        empty = np.zeros(0, dtype=np.int64)
-        return np.concatenate([empty, *a]), np.concatenate([empty, *b])
+            y = right[label[right] != label[x]]
+            most = np.minimum(common[x], common[y])
+            y = y[most >= SIMILARITY * (runs[x] + runs[y] - most)]
+            same = s[y] == s[x]
+            new = ~same[:, :band * ROWS].reshape(len(y), band, ROWS).all(axis=2).any(axis=1)
+            agree = same.mean(axis=1)
+            near = np.flatnonzero(new & (agree >= AGREE))
+            for z in y[near[np.argsort(-agree[near], kind="stable")]]:
+                if label[z] != label[x] and similarity(content(x), content(z)) >= SIMILARITY:
+                    links.append((int(ids[x]), int(ids[z])))
+                    label[label == label[z]] = label[x]
+        return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now = None
 
         def done() -> Iterator[pa.RecordBatch]:
-            if held:
-                a, b = meet(pa.Table.from_batches(held))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            links = meet(pa.Table.from_batches(held)) if held else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -260,19 +322,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     document, linked by any of its texts; a null identifier is linked with nothing and kept. An empty table gives no rows;
     other columns are not read.
     """
+    ship(docs.sparkSession)
     every = stored(signed(docs, id_col, text_col), "signatures")
     same = stored(every.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "same-words")
     copies = stored(every.select("id", "h1", "h2").join(small_or_shuffled(same), ["h1", "h2"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "copies")
-    texts = stored(every.select("id", "signature").join(small_or_shuffled(copies.select(F.col("a").alias("id")).distinct()), "id", "left_anti"), "texts")
+    texts = stored(every.select("id", "signature", "runs").join(small_or_shuffled(copies.select(F.col("a").alias("id")).distinct()), "id", "left_anti"), "texts")
     keyed = banded(texts)
-    shared = stored(keyed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     buckets = stored(keyed.join(small_or_shuffled(shared), "key"), "bucket-members")
-    tried = agreeing(buckets.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), texts)
-    tried = stored(tried, "pairs")
-    stars = stored(alike(tried, docs, id_col, text_col).select(F.col("a"), F.col("b")), "links")
-    left = blocks_left(buckets, stored(components(stars.toDF("u", "v")), "groups"), texts)
-    left = stored(left.join(small_or_shuffled(tried), ["a", "b"], "left_anti"), "pairs")
-    links = stars.unionByName(alike(left, docs, id_col, text_col)).unionByName(copies).toDF("u", "v")
+    neighbours = stored(buckets.groupBy("id").agg(F.sum("n").alias("near")), "neighbours")
+    best = F.max(F.struct(F.col("near"), (-F.col("id")).alias("rank"))).alias("best")
+    centres = stored(buckets.join(small_or_shuffled(neighbours), "id").groupBy("key").agg(best).select("key", (-F.col("best.rank")).alias("centre")), "centres")
+    tried = buckets.join(small_or_shuffled(centres), "key").where("id <> centre").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+    tried = stored(agreeing(tried, texts), "pairs")
+    stars = stored(alike(tried, docs, id_col, text_col), "links")
+    left = stored(blocks_left(buckets, stored(components(stars.toDF("u", "v")), "groups"), texts, docs, id_col, text_col), "links")
+    links = stars.unionByName(left).unionByName(copies).toDF("u", "v")
     groups = stored(components(stored(links, "links")).withColumnRenamed("node", "__node"), "groups")
     rows = docs.select(F.col(id_col).alias("doc_id"))
     component = F.coalesce("component", "doc_id")
