@@ -1,6 +1,6 @@
 """Toxicity by gradient-boosted trees over dense features of whole texts, with isotonic calibration.
 
-Features: densities of a lexicon of words and word beginnings that mark toxic texts, their nearness to words of the second
+Features: densities and counts of a lexicon of words and word beginnings that mark toxic texts, their nearness to words of the second
 person, capitals, punctuation, and the rate of obfuscated words and of lexicon words found once they are undone. Lexicon,
 trees and calibration are learned from a bounded sample of labelled rows; scoring reads every text whole.
 """
@@ -12,6 +12,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,11 @@ SAMPLE_BYTES = 1 << 16
 
 THRESHOLD = 0.3
 LEXICON = 400
+LEAST_TEXTS, LEAST_ODDS = 3, 0.5
 STEMS = (4, 5, 6)
+FOLDS = 4
+#: Odd factors, each of which orders hashes anew.
+MULTIPLIERS = (1, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 NEAR = 5
 
 # Words of the second person in four languages, and signs that stand for letters.
@@ -37,7 +42,7 @@ TOKEN = re.compile(r"[^\s]+")
 EDGE = ".,;:!?\"'()[]{}<>«»„“”…*#%&$-_~"
 TWICE = re.compile(r"(.)\1{2,}")
 PUNCTUATION = re.compile(r"[!?]")
-NAMES = ("hits", "weight", "strongest", "near_you", "hidden", "obfuscated", "capitals", "shouted", "marks", "long_marks", "you", "log_words")
+NAMES = ("hits", "weight", "strongest", "near_you", "hidden", "obfuscated", "capitals", "shouted", "marks", "long_marks", "you", "log_words", "log_hits", "log_different")
 
 
 def undone(word: str) -> str:
@@ -61,23 +66,45 @@ class Lexicon:
         return w
 
     @staticmethod
-    def learn(texts: list[str], toxic: np.ndarray) -> Lexicon:
-        """Words and beginnings that far more toxic than clean texts have: the log of the odds is over 2.5."""
-        seen = (Counter(), Counter())
-        n = (int((toxic == 0).sum()), int((toxic == 1).sum()))
-        for text, y in zip(texts, toxic):
-            words = set(tokens(text))
-            seen[int(y)].update({("word", w) for w in words if len(w) > 2} | {("stem", w[:k]) for w in words for k in STEMS if len(w) > k})
-        least = max(4, n[1] // 200)
-        odds = {t: log((c + 0.5) / (n[1] + 1)) - log((seen[0][t] + 0.5) / (n[0] + 1)) for t, c in seen[1].items() if c >= least}
-        best = sorted(((o, t) for t, o in odds.items() if o > 2.5), reverse=True)[:LEXICON]
+    def learn(seen: tuple[Counter, Counter], n: tuple[int, int]) -> Lexicon:
+        """Words and beginnings that far more toxic than clean texts have: the log of the odds, less two standard errors, is
+        over LEAST_ODDS. seen: texts of each class by token; n: texts of each class."""
+        found = []
+        for token, c in seen[1].items():
+            if c < LEAST_TEXTS:
+                continue
+            d = seen[0][token]
+            odds = log((c + 0.5) / (n[1] + 1)) - log((d + 0.5) / (n[0] + 1))
+            sure = odds - 2 * (1 / (c + 0.5) + 1 / (d + 0.5)) ** 0.5
+            if sure > LEAST_ODDS:
+                found.append((sure, token))
+        best = sorted(found, reverse=True)[:LEXICON]
         return Lexicon({t[1]: o for o, t in best if t[0] == "word"}, {t[1]: o for o, t in best if t[0] == "stem"})
 
 
+def lexicon_tokens(text: str) -> set[tuple[str, str]]:
+    words = set(tokens(text))
+    return {("word", w) for w in words if len(w) > 2} | {("stem", w[:k]) for w in words for k in STEMS if len(w) > k}
+
+
+def apart(texts: list[str]) -> list[int]:
+    """Places of texts without those that repeat most of an earlier one: else the words of one text that was copied often
+    would look like words of its class. Texts are alike if the smallest hashes of their runs of three words meet."""
+    kept, seen = [], set()
+    for k, text in enumerate(texts):
+        words = tokens(text)
+        runs = np.array([crc32(" ".join(words[j:j + 3]).encode()) for j in range(max(1, len(words) - 2))], dtype=np.uint64)
+        keys = {(j, int(((runs * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min())) for j, m in enumerate(MULTIPLIERS)}
+        if not keys & seen:
+            kept.append(k)
+        seen |= keys
+    return kept
+
+
 def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
     """One row of NAMES; a text without words has zeros."""
     raw = TOKEN.findall(text)
-    hits, hidden, odd, you, shouted, n = [], 0, 0, [], 0, 0
+    hits, different, hidden, odd, you, shouted, n = [], set(), 0, 0, [], 0, 0
     weight, cache = lexicon.weight, lexicon.cache
     total = strongest = 0.0
     for token in raw:
@@ -92,6 +119,7 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
             w = cache[lower] = weight(lower)
         if w:
             hits.append(n)
+            different.add(lower)
             total += w
             strongest = max(strongest, w)
         elif lower in YOU:
@@ -113,7 +141,7 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
     letters = max(1, len(text))
     upper = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     marks = text.count("!") + text.count("?")
-    return (len(hits) / n, total / n, strongest, near / n, hidden / n, odd / n, upper / letters, shouted / n, marks / letters, (text.count("!!") + text.count("??")) / letters, len(you) / n, log(n))
+    return (len(hits) / n, total / n, strongest, near / n, hidden / n, odd / n, upper / letters, shouted / n, marks / letters, (text.count("!!") + text.count("??")) / letters, len(you) / n, log(n), log(1 + len(hits)), log(1 + len(different)))
 
 
 class Boosted:
@@ -224,24 +252,41 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def train(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
-    """Trees on three rows of four, calibration on the fourth. Without rows of both classes every text gets the rate of the labels."""
+    """Features come from a lexicon that the text's fold had no part in, and calibration from trees that it had no part in,
+    so that neither trusts words that are only chance. Without rows of both classes every text gets the rate of the labels."""
+    kept = apart(texts)
+    texts, y, weight = [texts[k] for k in kept], y[kept], weight[kept]
     if len(set(y)) < 2:
-        x = np.zeros((1, len(NAMES)))
-        rate = float(y.mean()) if len(y) else 0.0
-        flat = Isotonic().fit(np.zeros(1), np.array([rate]), np.ones(1))
-        return Model(Lexicon({}, {}), Boosted(trees=0).fit(x, np.array([rate]), np.ones(1)), flat)
-    lexicon = Lexicon.learn(texts, y)
-    x = np.array([features(t, lexicon) for t in texts])
-    apart = np.zeros(len(y), dtype=bool)
+        rate = np.array([float(y.mean()) if len(y) else 0.0])
+        flat = Boosted(trees=0).fit(np.zeros((1, len(NAMES))), rate, np.ones(1))
+        return Model(Lexicon({}, {}), flat, Isotonic().fit(np.zeros(1), rate, np.ones(1)))
+    fold = np.zeros(len(y), dtype=int)
     for label in (0, 1):
-        apart[np.flatnonzero(y == label)[3::4]] = True
-    if len(set(y[apart])) < 2:
-        apart[:] = True
-        fit = apart
-    else:
-        fit = ~apart
-    trees = Boosted().fit(x[fit], y[fit], weight[fit] / weight.mean())
-    return Model(lexicon, trees, Isotonic().fit(trees.score(x[apart]), y[apart], weight[apart]))
+        here = np.flatnonzero(y == label)
+        fold[here] = np.arange(len(here)) % FOLDS
+    seen = {(f, label): Counter() for f in range(FOLDS) for label in (0, 1)}
+    for text, f, label in zip(texts, fold, y):
+        seen[f, int(label)].update(lexicon_tokens(text))
+
+    def lexicon(without: int | None) -> Lexicon:
+        counts, n = [], []
+        for label in (0, 1):
+            total = Counter()
+            for f in range(FOLDS):
+                if f != without:
+                    total.update(seen[f, label])
+            counts.append(total)
+            n.append(int(((y == label) & (fold != without)).sum()))
+        return Lexicon.learn(tuple(counts), tuple(n))
+
+    held = [lexicon(f) for f in range(FOLDS)]
+    x = np.array([features(t, held[f]) for t, f in zip(texts, fold)])
+    weight = weight / weight.mean()
+    out = np.zeros(len(y))
+    for f in range(FOLDS):
+        rest = fold != f
+        out[~rest] = Boosted().fit(x[rest], y[rest], weight[rest]).score(x[~rest])
+    return Model(lexicon(None), Boosted().fit(x, y, weight), Isotonic().fit(out, y, weight))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
