@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from ordinate.llm.shared import ship
 
-#: States a worker keeps.
+#: States and transitions a worker keeps.
 STATES = 300_000
+TRANSITIONS = 1_500_000
 
 #: Pairs of tokens whose order a worker remembers.
 PAIRS = 500_000
@@ -65,9 +66,8 @@ class State(dict):
 
     def __missing__(self, char: str) -> tuple[State, int]:
         key, added = self.machine.step(self.key, char)
-        out = self.machine.state(key), added
-        if len(char.encode("utf-8", "replace")) < 3 or len(self) < 512:
-            self[char] = out
+        self.machine.transitions += 1
+        out = self[char] = self.machine.state(key), added
         return out
 
 
@@ -113,6 +113,7 @@ class Transducer:
 
     def restart(self) -> None:
         self.states: dict[tuple, State] = {}
+        self.transitions = 0
         self.words: dict[str, int] = {}
 
     def state(self, key: tuple) -> State:
@@ -267,7 +268,7 @@ class Transducer:
         return n
 
     def chars(self, key: tuple, text: str) -> tuple[tuple, int]:
-        if len(self.states) > STATES:
+        if len(self.states) > STATES or self.transitions > TRANSITIONS:
             self.restart()
         state, total = self.state(key), 0
         for char in text:
