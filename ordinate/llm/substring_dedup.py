@@ -135,9 +135,9 @@ class SuffixAutomaton:
 # A corpus against itself.
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, text): mark tells rows of one identifier with different texts apart."""
+    """(id, mark, text, doc_id): mark tells rows of one identifier with different texts apart."""
     text = F.col(text_col).cast("string")
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.hash(text).alias("mark"), text.cast("binary").alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.hash(text).alias("mark"), text.cast("binary").alias("text"), F.col(id_col).alias("doc_id"))
 
 
 def places(words: np.ndarray, grams: Runs, regions: Runs) -> tuple[np.ndarray, ...]:
@@ -167,7 +167,7 @@ def _places(docs: DataFrame) -> DataFrame:
                 start, windows, prints, region = (np.concatenate([f[c] for f in found]) for c in range(4))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int16)), pa.array(prints.astype(np.int64)), pa.array(region.astype(np.int64))], names=["id", "mark", "start", "windows", "print", "region"])
 
-    return docs.mapInArrow(run, "id bigint, mark int, start int, windows smallint, print bigint, region bigint")
+    return docs.select("id", "mark", "text").mapInArrow(run, "id bigint, mark int, start int, windows smallint, print bigint, region bigint")
 
 
 def _contents(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays(out + [pa.array(kept_texts, pa.string())] * texts, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * texts)
 
     schema = f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts
-    rows = _rows(docs.withColumnsRenamed({id_col: "doc_id"}), "doc_id", text_col).withColumn("doc_id", F.when(F.col("id") != -(1 << 63), F.col("id")).cast(kind))
+    rows = _rows(docs, id_col, text_col)
     keys = small_or_shuffled(windows.select("id", "mark"))
     touched = rows.join(keys, ["id", "mark"], "left_semi").join(windows, ["id", "mark"])
     clean = rows.join(keys, ["id", "mark"], "left_anti").withColumn("rows", F.lit(None).cast(dict(windows.dtypes)["rows"]))

@@ -139,7 +139,7 @@ def brute_near(rows):
 @pytest.mark.parametrize("block", [256, 8])
 def test_near(spark, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
-    rows = near_texts(260)
+    rows = near_texts(260 if block > 8 else 120)
     odd = [(900, None), (901, ""), (902, " \n"), (903, "one two"), (904, "one  two"), (905, "one"), (906, "la " * 400), (907, "la " * 420), (908, "la " * 600)]
     df = spark.createDataFrame([(i, t, 1, "") for i, t in rows + odd] + [(None, rows[0][1], 1, "")], "doc_id long, text string, component int, id string").repartition(4)
     got = near_dedup.near_groups(df).collect()
