@@ -25,7 +25,7 @@ from ordinate.llm.shared import ship, small_or_shuffled, stored
 SAMPLE = 4000
 DIMENSIONS = 8
 #: Vectors of an interval of the sequence, and below which a task stops halving.
-LEAF = 2048
+LEAF = 8192
 LEAST = 128
 FAN = 4
 
