@@ -6,6 +6,7 @@ so that malformed UTF-8 is as good as any other content.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -125,12 +126,30 @@ def _slice_chars(text: Column, r: Range) -> Column:
     return _slice_points(text, r, lambda t: F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)))
 
 
+def _strided(binary: Column, r: Range) -> Column:
+    """The Latin-1 image of every so many bytes: only the selected ones are looked at."""
+    forward = r if r.step > 0 else mirrored(r)
+
+    def of(b: Column) -> Column:
+        low, span = bounds(forward, F.octet_length(b))
+        steps = F.sequence(F.lit(0), F.greatest(span, F.lit(1)) - 1, F.lit(min(forward.step, MOST)))
+        place = (lambda k: low + k) if r.step > 0 else (lambda k: F.octet_length(b) - 1 - low - k)
+        chosen = F.array_join(F.transform(steps, lambda k: F.decode(F.substring(b, place(k) + 1, 1), "ISO-8859-1")), "")
+        return F.when(b.isNull(), F.lit(None)).when(span == 0, F.lit("")).otherwise(chosen)
+
+    return let(binary, of)
+
+
+#: Below U+0300 nothing joins a cluster but a line feed its carriage return.
+_MAY_JOIN = re.compile("[\r\u0300-\U0010FFFF]")
+
+
 def clusters(value: bytes | str) -> list[bytes] | list[str]:
     """Extended grapheme clusters; a byte that belongs to no code point is a cluster of its own and ends the one before."""
     import regex
 
     if isinstance(value, str):
-        return regex.findall(r"\X", value)
+        return regex.findall(r"\X", value) if _MAY_JOIN.search(value) else list(value)
     return [c.encode("utf-8", "surrogateescape") for c in regex.findall(r"\X", bytes(value).decode("utf-8", "surrogateescape"))]
 
 
@@ -139,8 +158,12 @@ def _slice_graphemes(column: Column, r: Range, binary: bool) -> Column:
 
     @F.pandas_udf("binary" if binary else "string")
     def cut(values: pd.Series) -> pd.Series:
-        empty = b"" if binary else ""
-        return values.map(lambda v: None if v is None else empty.join(clusters(v)[part]))
+        def one(v):
+            if isinstance(v, str) and not _MAY_JOIN.search(v):
+                return v[part]
+            return (b"" if binary else "").join(clusters(v)[part])
+
+        return values.map(lambda v: None if v is None else one(v))
 
     return cut(column)
 
@@ -164,7 +187,7 @@ def slice_column(column: str | Column, text: Range | str, mode: Mode = LINES, bi
                 low, span = bounds(r, F.octet_length(b))
                 return F.substring(b, low + 1, span)
             return let(column.cast("binary"), window)
-        return _bytes(_slice_chars(_image(column), r))
+        return _bytes(_slice_chars(_image(column), r) if r.step == -1 else _strided(column.cast("binary"), r))
     if mode.unit is Unit.CHARS:
         if not binary:
             return _slice_chars(column, r)
