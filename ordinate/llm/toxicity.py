@@ -114,7 +114,7 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
         lower = word.lower()
         w = cache.get(lower)
         if w is None:
-            if len(cache) > 300_000:
+            if len(cache) > 100_000:
                 cache.clear()
             w = cache[lower] = weight(lower)
         if w:
