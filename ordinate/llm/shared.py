@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ordinate.session import shared_path, ship, stored
 
-__all__ = ["SPACE", "WORD", "shared_path", "ship", "shuffle_partitions", "small_or_shuffled", "stored", "text_or_empty"]
+__all__ = ["SPACE", "WORD", "free_name", "integral", "shared_path", "ship", "shuffle_partitions", "small_or_shuffled", "stored", "text_or_empty"]
 
 #: White space and words of the contracts: ASCII only.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,6 +22,21 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one, that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def integral(df: DataFrame, column: str) -> None:
+    """Raise unless the column holds whole numbers: identifiers are compared and sent as such."""
+    kind = dict(df.dtypes)[column]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"identifiers in {column} are {kind}; number them first")
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -1,5 +1,6 @@
 import hashlib
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -92,7 +93,7 @@ def test_embeddings(spark, leaf, least, monkeypatch):
     rows = [(int(k), [float(np.float32(x)) for x in base[k % 12] + r.normal(size=16) * r.choice([0.05, 0.3, 1.0])]) for k in range(150)]
     rows += [(200 + k, rows[0][1]) for k in range(9)] + [(300, [2 * x for x in rows[3][1]]), (301, [1e-30 * x for x in rows[4][1]])]
     odd = [(400, None), (401, [0.0] * 16), (402, [float("nan")] + [1.0] * 15), (403, [float("inf")] + [1.0] * 15), (404, [None] + [1.0] * 15), (None, rows[0][1])]
-    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows + odd], "vec_id long, embedding array<float>, links int, id int").repartition(4)
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows + odd], "vec_id long, embedding array<float>, links int, gone int").repartition(4)
     got = embedding_dedup.embedding_groups(df).collect()
     want = brute_embeddings([(i, [float(np.float32(x)) for x in v]) for i, v in rows])
     assert len(got) == len(rows) + len(odd)
@@ -110,6 +111,61 @@ def test_embeddings_of_nothing(spark):
     assert [tuple(r) for r in embedding_dedup.embedding_groups(df).collect()] == [(1, 0, 1, True)]
 
 
+def test_ragged_short_long_and_repeated_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LEAF", 8)
+    monkeypatch.setattr(embedding_dedup, "LEAST", 3)
+    r = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in r.normal(size=n)]) for k, n in enumerate([1, 2, 3, 5, 9, 700] * 9)]
+    rows += [(100 + k, [2 * x for x in v]) for k, v in rows[::4]] + [(200, []), (201, [1.0]), (202, [-3.0])]
+    rows += [(7, rows[7][1]), (7, rows[9][1])]  # one identifier: equal vectors, and one of another length
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = embedding_dedup.embedding_groups(df).collect()
+    assert len(got) == len(rows)
+    by_length = {}
+    for i, v in rows:
+        by_length.setdefault(len(v), []).append((i, v))
+    links, edges = {}, []
+    for length, some in by_length.items():
+        x = embedding_dedup.unit(np.array([v for _, v in some])) if length else np.zeros((len(some), 1))
+        near = x @ x.T >= 0.9
+        np.fill_diagonal(near, False)
+        for k, (i, _) in enumerate(some):
+            links.setdefault(i, []).append(int(near[k].sum()))
+            edges += [(i, some[j][0]) for j in np.flatnonzero(near[k])]
+    component = components_of(links, edges)
+    assert sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in got) == sorted((i, n, component[i], component[i] == i) for i, ns in links.items() for n in ns)
+    with pytest.raises(TypeError, match="identifiers"):
+        embedding_dedup.embedding_groups(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"))
+
+
+def test_distant_pairs_are_skipped():
+    """Boxes skip what lies along few dimensions; without such, places skip all but one pair in a thousand."""
+    r = np.random.default_rng(6)
+    curve = np.repeat(np.arange(4000) / 1000, 1)
+    for x, most_screened, most_compared in (
+        (np.column_stack([np.cos(curve), np.sin(curve), 0.02 * r.normal(size=(4000, 30))]), 0.4, 0.4),
+        (r.normal(size=(4000, 64)), 1.0, 0.002),
+    ):
+        x = embedding_dedup.unit(x)
+        _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+        place = embedding_dedup.places(x, axes[:24].T).astype(np.float32)
+        order = np.lexsort(np.floor(place / 0.4473).T[::-1]) if most_screened == 1 else np.argsort(curve)
+        x, place = x[order], place[order]
+        found = embedding_dedup.Joiner(x, place, x, place, np.ones(len(x), dtype=np.int64), True, 0.9, 0.4473)
+        near = x @ x.T >= 0.9
+        np.fill_diagonal(near, False)
+        assert (found.links == near.sum(axis=1)).all()
+        assert found.screened <= most_screened * found.pairs and found.compared <= most_compared * found.pairs
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_embeddings_of_the_tables(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    want = brute_embeddings([(r.vec_id, r.embedding) for r in df.collect()])
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_groups(df).collect()}
+    assert {i: got[i] for i in want} == want and all(got[i] == (0, i, True) for i in set(got) - set(want))
+
+
 # Near duplicates.
 
 def brute_near(rows):
