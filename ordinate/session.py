@@ -32,9 +32,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ordinate-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,4 +55,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables that stored() gave, once all that reads them is written."""
+    for table in tables:
+        delete(table.sparkSession, table._stored_at)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+#: Bytes of input of a task where an explicit number of partitions is asked for; Spark does not adapt such numbers.
+TASK_BYTES = 64 << 20
+UNKNOWN = 1 << 60
+
+
+def task_count(df: DataFrame) -> int:
+    """Partitions of some TASK_BYTES for the files that a table comes from; at least spark.sql.shuffle.partitions.
+
+    The sizes of the leaves of the plan are added up: what Spark estimates for joins above them is far too much.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    known = sum(n for n in sizes if n < UNKNOWN)
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // TASK_BYTES)
