@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordinate.llm.shared import SPACE, shuffle_partitions, small_or_shuffled, stored, text_or_empty
+from ordinate.llm.shared import SPACE, task_count, small_or_shuffled, stored, text_or_empty
 
 PREFIX_CHARS = 32
 
@@ -24,8 +24,7 @@ def normalised(text_col: str) -> Column:
 
 def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text_sha256, keep_id, group_size) of each text that several rows share, by the content sort."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+    parts = task_count(docs)
     rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm")).withColumn("hash", F.xxhash64("norm"))
     limit = max(1, docs.count() // (4 * parts))
     hot = rows.groupBy("hash").count().where(F.col("count") > limit).select("hash", F.lit(True).alias("hot"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinate.session import shared_path, ship, stored
+from ordinate.session import delete, removed, shared_path, ship, stored, task_count
 
-__all__ = ["SPACE", "WORD", "free_name", "integral", "shared_path", "ship", "shuffle_partitions", "small_or_shuffled", "stored", "text_or_empty"]
+__all__ = ["SPACE", "WORD", "delete", "free_name", "integral", "removed", "shared_path", "ship", "small_or_shuffled", "stored", "task_count", "text_or_empty"]
 
 #: White space and words of the contracts: ASCII only.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -40,6 +40,3 @@ def integral(df: DataFrame, column: str) -> None:
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

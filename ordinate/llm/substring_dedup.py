@@ -1,21 +1,27 @@
-"""Repeated passages removed by suffix automata of reference shards.
-
-remove_known() is the plain form: the reference is cut into shards of bounded size, an automaton of each is broadcast, and
-documents are streamed through them for matching statistics; words under a match of the length are removed.
-
-repeated_passages() holds a corpus against itself, where the reference grows with the input and cannot be broadcast. Its
-automata are built where the text they meet is sent instead. A fingerprint is the hash of 18 words, and a window of 35
-words belongs to the smallest of its 18 fingerprints, so equal windows belong to equal fingerprints. Neighbouring windows
-of one fingerprint are a region. Regions under fingerprints that occur once are dropped; equal regions become one with a
-count; regions under one fingerprint are dealt to one shard, whose automaton counts where each of their windows occurs.
-A fingerprint with more than HOT different regions would make a shard without bound: its windows are counted by their
-hashes, which are combined before they are sent.
+"""Repeated passages removed by broadcast suffix automata of reference shards.
+
+A reference is cut into shards of bounded size, each shard's suffix automaton is broadcast, and texts are streamed through
+it for matching statistics; words under a match of the length are removed.
+
+remove_known() has a list of texts for a reference. repeated_passages() holds a corpus against itself. Its reference is
+one place of each window of 35 words that occurs again, and what is streamed through a shard is the text around such
+windows, each different text once. Hashes only choose them:
+
+A fingerprint is the hash of 18 words, and a window belongs to the smallest of its 18 fingerprints, so equal windows
+belong to equal fingerprints. Neighbouring windows of one fingerprint are a region. Regions whose fingerprint occurs once
+hold nothing repeated and drop out; equal regions become one with a count; of each window whose hash occurs again, one
+place becomes part of the reference, where neighbours join up to spans. Spans are dealt to shards by hash, so that no
+passage, however often it occurs, makes a shard larger. Automata are built in tasks, some to a round, and a round's are
+broadcast: as many rounds as the distinct repeated text of the corpus fills, each of at most SHARDS times SHARD_WORDS words
+or so, while each region goes through the shards of its windows only.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordinate.llm.shared import ship, small_or_shuffled, stored
+from ordinate.llm.shared import delete, removed, shared_path, ship, small_or_shuffled, stored, task_count
 
 LENGTH = 35
 GRAM = 18
 OWN = LENGTH - GRAM + 1  # fingerprints in a window, and most windows in a region
 
-#: Words of a shard, and different regions of a fingerprint that go through shards.
-SHARD_WORDS = 60_000
-HOT = 1000
+#: Words of a shard (its automaton has some 70 bytes a word), and shards of a round.
+SHARD_WORDS = 30_000
+SHARDS = 24
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 MIX2, MIX3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -71,73 +77,105 @@ class Runs:
 
 
 class SuffixAutomaton:
-    """The substrings of several sequences, with the number of places (or their weights) that each ends at."""
-
-    def __init__(self, sequences: Iterable[tuple[Iterable, int]]):
-        self.next: list[dict] = [{}]
-        self.link = [-1]
-        self.length = [0]
-        self.count = [0]
-        for sequence, weight in sequences:
+    """The substrings of several sequences of word hashes."""
+
+    def __init__(self, sequences: Iterable[np.ndarray]):
+        sequences = list(sequences)
+        self.symbols = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *sequences]))
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.length = [0], [0]
+        for sequence in sequences:
             last = 0
-            for symbol in sequence:
+            for symbol in np.searchsorted(self.symbols, sequence).tolist():
                 last = self._extend(last, symbol)
-                self.count[last] += weight
-        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
-            self.count[self.link[state]] += self.count[state]
-
-    def _state(self, length: int, link: int, edges: dict) -> int:
+        # The edges as one sorted table, keyed by state and symbol.
+        state = np.repeat(np.arange(len(self.next)), [len(edges) for edges in self.next])
+        symbol = np.fromiter(chain.from_iterable(self.next), dtype=np.int64, count=len(state))
+        to = np.fromiter(chain.from_iterable(edges.values() for edges in self.next), dtype=np.int32, count=len(state))
+        key = state * len(self.symbols) + symbol
+        order = np.argsort(key)
+        self.key, self.to = key[order], to[order]
+        self.link, self.length = np.array(self.link, dtype=np.int32), np.array(self.length, dtype=np.int32)
+        del self.next
+
+    def _state(self, length: int, link: int, edges: dict[int, int]) -> int:
         self.next.append(edges)
         self.link.append(link)
         self.length.append(length)
-        self.count.append(0)
         return len(self.link) - 1
 
-    def _split(self, state: int, symbol) -> int:
+    def _split(self, state: int, symbol: int) -> int:
         """The state one longer than `state` that `symbol` leads to, made out of a longer one if need be."""
         to = self.next[state][symbol]
         if self.length[to] == self.length[state] + 1:
             return to
         copy = self._state(self.length[state] + 1, self.link[to], dict(self.next[to]))
         self.link[to] = copy
-        while state >= 0 and self.next[state].get(symbol) == to:
+        while self.next[state].get(symbol) == to:
             self.next[state][symbol] = copy
+            if not state:
+                break
             state = self.link[state]
         return copy
 
-    def _extend(self, last: int, symbol) -> int:
+    def _extend(self, last: int, symbol: int) -> int:
         if symbol in self.next[last]:
             return self._split(last, symbol)
         new = self._state(self.length[last] + 1, 0, {})
-        while last >= 0 and symbol not in self.next[last]:
+        while symbol not in self.next[last]:
             self.next[last][symbol] = new
+            if not last:
+                return new
             last = self.link[last]
-        if last >= 0:
-            self.link[new] = self._split(last, symbol)
+        self.link[new] = self._split(last, symbol)
         return new
 
-    def matches(self, sequence: Iterable, length: int) -> Iterator[tuple[int, int]]:
-        """At each element, the length of the longest match that ends there, at most `length`, and how often that occurs."""
-        state, n = 0, 0
-        edges, link, size, count = self.next, self.link, self.length, self.count
-        for symbol in sequence:
-            while state and symbol not in edges[state]:
-                state = link[state]
-                n = size[state]
-            if symbol in edges[state]:
-                state, n = edges[state][symbol], n + 1
-            while size[link[state]] >= length if state else False:
-                state = link[state]
-            n = min(n, length)
-            yield n, count[state]
+    def matches(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
+        """At each word of each sequence, the length of the longest match that ends there. Sequences go side by side."""
+        sizes = np.array([len(x) for x in sequences], dtype=np.int64)
+        out = [np.zeros(n, dtype=np.int32) for n in sizes]
+        if not len(self.key) or not sizes.any():
+            return out
+        order = np.argsort(-sizes, kind="stable")
+        flat = np.concatenate([sequences[k] for k in order])
+        symbol = np.searchsorted(self.symbols, flat)
+        symbol[symbol == len(self.symbols)] = 0
+        known = self.symbols[symbol] == flat
+        start = np.concatenate([[0], np.cumsum(sizes[order])[:-1]])
+        state, depth = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.int32)
+        found = np.zeros(len(flat), dtype=np.int32)
+        for t in range(int(sizes.max())):
+            m = int(np.searchsorted(-sizes[order], -t))  # the sequences longer than t
+            at = start[:m] + t
+            lost = ~known[at]
+            state[:m][lost] = 0
+            depth[:m][lost] = 0
+            todo = np.flatnonzero(~lost)
+            while len(todo):
+                key = state[todo] * len(self.symbols) + symbol[at[todo]]
+                edge = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+                hit = self.key[edge] == key
+                went = todo[hit]
+                state[went] = self.to[edge[hit]]
+                depth[went] += 1
+                todo = todo[~hit]
+                root = state[todo] == 0
+                depth[todo[root]] = 0
+                todo = todo[~root]
+                state[todo] = self.link[state[todo]]
+                depth[todo] = self.length[state[todo]]
+            found[at] = depth[:m]
+        for k, s in zip(order, start):
+            out[k] = found[s:s + sizes[k]]
+        return out
 
 
 # A corpus against itself.
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, text, doc_id): mark tells rows of one identifier with different texts apart."""
+    """(a, b, text, doc_id): a and b, 128 bits, mark a text under its identifier, whatever the identifier's type, null included."""
     text = F.col(text_col).cast("string")
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.hash(text).alias("mark"), text.cast("binary").alias("text"), F.col(id_col).alias("doc_id"))
+    return docs.select(F.xxhash64(F.col(id_col), text).alias("a"), F.xxhash64(F.lit(7), text, F.col(id_col)).alias("b"), text.cast("binary").alias("text"), F.col(id_col).alias("doc_id"))
 
 
 def places(words: np.ndarray, grams: Runs, regions: Runs) -> tuple[np.ndarray, ...]:
@@ -163,103 +201,143 @@ def _places(docs: DataFrame) -> DataFrame:
                 part = batch.slice(k, 512)
                 found = [places(hashed((v.as_py() or b"").split()), grams, regions) for v in part.column(2)]
                 sizes = np.array([len(f[0]) for f in found])
-                ids, marks = (np.repeat(np.asarray(part.column(c)), sizes) for c in (0, 1))
+                a, b = (np.repeat(np.asarray(part.column(c)), sizes) for c in (0, 1))
                 start, windows, prints, region = (np.concatenate([f[c] for f in found]) for c in range(4))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int16)), pa.array(prints.astype(np.int64)), pa.array(region.astype(np.int64))], names=["id", "mark", "start", "windows", "print", "region"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int16)), pa.array(prints.astype(np.int64)), pa.array(region.astype(np.int64))], names=["a", "b", "start", "windows", "print", "region"])
 
-    return docs.select("id", "mark", "text").mapInArrow(run, "id bigint, mark int, start int, windows smallint, print bigint, region bigint")
+    return docs.select("a", "b", "text").mapInArrow(run, "a bigint, b bigint, start int, windows smallint, print bigint, region bigint")
 
 
-def _contents(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(print, region, n, hot, words) of each wanted region, from the text of the place it was seen first."""
+def _contents(regions: DataFrame, docs: DataFrame) -> DataFrame:
+    """(print, region, n, words, windows) of each region, from the text of one of its places; windows are their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(BASES[1])
         for batch in batches:
             for k in range(batch.num_rows):
                 words = hashed((batch.column(0)[k].as_py() or b"").split())
-                rows = batch.column(1)[k].as_py()
-                cut = [words[r["start"]:r["start"] + r["windows"] + LENGTH - 1].tobytes() for r in rows]
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], t) for c, t in (("print", pa.int64()), ("region", pa.int64()), ("n", pa.int64()), ("hot", pa.bool_()))), pa.array(cut, pa.binary())], names=["print", "region", "n", "hot", "words"])
-
-    by_text = stored(wanted.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "windows", "print", "region", "n", "hot")).alias("rows")), "wanted")
-    some = docs.join(small_or_shuffled(by_text.select("id", "mark")), ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
-    return some.join(by_text, ["id", "mark"]).select("text", "rows").mapInArrow(run, "print bigint, region bigint, n bigint, hot boolean, words binary")
-
-
-def _by_automaton(contents: DataFrame) -> DataFrame:
-    """(print, region, mask) by the automata of shards: bit k for the region's k-th window, if that occurs elsewhere."""
-
-    def shard(rows: list[tuple[int, int, int, list[int]]]) -> pa.RecordBatch:
-        automaton = SuffixAutomaton((words, n) for _, _, n, words in rows)
-        masks = []
-        for _, _, _, words in rows:
-            mask = 0
-            for k, (length, count) in enumerate(automaton.matches(words, LENGTH)):
-                if length >= LENGTH and count > 1:
-                    mask |= 1 << (k - LENGTH + 1)
-            masks.append(mask)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(masks, pa.int32())], names=["print", "region", "mask"])
+                rows = pa.RecordBatch.from_struct_array(batch.column(1)[k].values)
+                start, count = (np.asarray(rows.column(c)).astype(np.int64) for c in ("start", "windows"))
+                cut = [words[s:s + n + LENGTH - 1].tobytes() for s, n in zip(start, count)]
+                ends = np.cumsum(count)
+                at = np.arange(ends[-1]) + np.repeat(start - ends + count, count)
+                windows = runs.at(runs.sums(words), at, at + LENGTH).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(windows))
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("print", "region", "n")), pa.array(cut, pa.binary()), lists], names=["print", "region", "n", "words", "windows"])
+
+    by_text = stored(regions.groupBy("place.a", "place.b").agg(F.collect_list(F.struct("place.start", "place.windows", "print", "region", "n")).alias("rows")), "wanted")
+    some = docs.join(small_or_shuffled(by_text.select("a", "b")), ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
+    found = some.join(by_text, ["a", "b"]).select("text", "rows").mapInArrow(run, "print bigint, region bigint, n bigint, words binary, windows array<bigint>")
+    out = stored(found, "contents")
+    removed(by_text)
+    return out
+
+
+def spans(words: np.ndarray, mask: int) -> list[np.ndarray]:
+    """The words under each run of neighbouring windows of a mask."""
+    out, k = [], 0
+    while mask >> k:
+        if not mask >> k & 1:
+            k += 1
+            continue
+        first = k
+        while mask >> k & 1:
+            k += 1
+        out.append(words[first:k + LENGTH - 1])
+    return out
+
+
+def _automata(reference: DataFrame) -> DataFrame:
+    """(round, shard, automaton) of a reference (shard, words, mask), each shard in one task."""
+
+    def built(shard: int, sequences: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([pickle.dumps(SuffixAutomaton(sequences))], pa.binary()), pa.array([shard // SHARDS], pa.int64())], names=["shard", "automaton", "round"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        now, held = None, []
         for batch in batches:
-            for p, r, n, words in zip(*(batch.column(c) for c in range(4))):
-                p = p.as_py()
-                if size >= SHARD_WORDS and p != held[-1][0]:
-                    yield shard(held)
-                    held, size = [], 0
-                words = np.frombuffer(words.as_py(), dtype=np.uint64).tolist()
-                held.append((p, r.as_py(), n.as_py(), words))
-                size += len(words)
+            for shard, words, mask in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if held and shard != now:
+                    yield built(now, held)
+                    held = []
+                now = shard
+                held += spans(np.frombuffer(words, dtype=np.uint64), mask)
         if held:
-            yield shard(held)
+            yield built(now, held)
 
-    return contents.select("print", "region", "n", "words").repartition("print").sortWithinPartitions("print").mapInArrow(run, "print bigint, region bigint, mask int")
+    return reference.select("shard", "words", "mask").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard bigint, automaton binary, round bigint")
 
 
-def _by_window(contents: DataFrame) -> DataFrame:
-    """(print, region, mask) by counts of window hashes."""
+def _streamed(candidates: DataFrame, sent) -> DataFrame:
+    """(print, region, mask): bit k for the region's k-th window if its shard's automaton has a match of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs(BASES[1])
+        loaded: dict[int, SuffixAutomaton] = {}
         for batch in batches:
-            cut = [np.frombuffer(w.as_py(), dtype=np.uint64) for w in batch.column(3)]
-            for p, r, n, words in zip(*(batch.column(c) for c in range(3)), cut):
-                at = np.arange(len(words) - LENGTH + 1)
-                m = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([x.as_py()] * m, pa.int64()) for x in (p, r, n)] + [pa.array(at.astype(np.int32)), pa.array(runs.at(runs.sums(words), at, at + LENGTH).view(np.int64))], names=["print", "region", "n", "k", "window"])
-
-    windows = stored(contents.select("print", "region", "n", "words").mapInArrow(run, "print bigint, region bigint, n bigint, k int, window bigint"), "windows")
-    again = stored(windows.groupBy("print", "window").agg(F.sum("n").alias("n")).where("n > 1").drop("n"), "windows-again")
-    return windows.join(small_or_shuffled(again), ["print", "window"], "left_semi").groupBy("print", "region").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("mask"))
+            shards, masks = np.asarray(batch.column(2)), np.zeros(batch.num_rows, dtype=np.int32)
+            words = [np.frombuffer(w.as_py(), dtype=np.uint64) for w in batch.column(3)]
+            for shard in np.unique(shards):
+                if shard not in loaded:
+                    loaded[shard] = pickle.loads(sent.value[int(shard)])
+                at = np.flatnonzero(shards == shard)
+                for k, lengths in zip(at, loaded[shard].matches([words[k] for k in at])):
+                    hit = np.flatnonzero(lengths[LENGTH - 1:] >= LENGTH)
+                    masks[k] = (1 << hit).sum()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masks)], names=["print", "region", "mask"])
+
+    return candidates.select("print", "region", "shard", "words").mapInArrow(run, "print bigint, region bigint, mask int").where("mask <> 0")
+
+
+def _matched(contents: DataFrame) -> DataFrame:
+    """(print, region, mask) of the regions with windows that occur again, as the automata find them."""
+    spark = contents.sparkSession
+    windows = contents.select("print", "region", "n", F.posexplode("windows").alias("k", "window"))
+    place = F.struct("region", "k")
+    again = windows.groupBy("print", "window").agg(F.sum("n").alias("n"), F.min(place).alias("place")).where("n > 1")
+    again = stored(again.select("print", "window", F.col("place.region").alias("of"), F.col("place.k").alias("at")), "windows-again")
+    reference = stored(again.groupBy("print", F.col("of").alias("region")).agg(F.bit_or(F.expr("shiftleft(1, at)")).alias("mask")), "reference")
+    size = F.expr(f"bit_count(mask) + {LENGTH - 1} * bit_count(mask & ~shiftleft(mask, 1))")
+    shards = max(1, -(-(reference.agg(F.sum(size).alias("n")).first()["n"] or 0) // SHARD_WORDS))
+    shard = lambda region: F.pmod(F.xxhash64("print", region), F.lit(shards))
+    texts = contents.select("print", "region", "words")
+    automata = _automata(reference.join(texts, ["print", "region"]).withColumn("shard", shard("region")))
+    wanted = windows.select("print", "region", "window").join(small_or_shuffled(again), ["print", "window"]).select("print", "region", shard("of").alias("shard")).distinct()
+    candidates = wanted.join(texts, ["print", "region"]).withColumn("round", F.expr(f"shard div {SHARDS}"))
+    paths = [shared_path(spark, name) for name in ("automata", "candidates", "masks")]
+    automata.write.partitionBy("round").parquet(paths[0])
+    if shards > SHARDS:  # a round's candidates in few files, and those of a passage that occurs everywhere in many tasks
+        candidates = candidates.repartitionByRange(task_count(contents), "shard", "region")
+    candidates.write.partitionBy("round").parquet(paths[1])
+    removed(again, reference)
+    for k in range(-(-shards // SHARDS)):
+        rows = spark.read.schema("shard bigint, automaton binary, round bigint").parquet(paths[0]).where(F.col("round") == k).collect()
+        sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["automaton"]) for r in rows})
+        _streamed(spark.read.schema("print bigint, region bigint, shard bigint, words binary, round bigint").parquet(paths[1]).where(F.col("round") == k), sent).write.parquet(f"{paths[2]}/{k}")
+        sent.destroy()
+    delete(spark, *paths[:2])
+    masks = spark.read.schema("print bigint, region bigint, mask int").option("recursiveFileLookup", "true").parquet(paths[2])
+    return masks.groupBy("print", "region").agg(F.bit_or("mask").alias("mask"))
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, mark, start, mask) of the regions that hold windows which occur elsewhere."""
+    """(a, b, start, mask) of the regions that hold windows which occur elsewhere."""
     every = stored(_places(_rows(docs, id_col, text_col)), "places")
-    again = every.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("one"), F.max("region").alias("two")).where("n > 1")
-    again = stored(again.select("print", (F.col("one") == F.col("two")).alias("alone")), "prints")
+    again = stored(every.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "prints")
     found = stored(every.join(small_or_shuffled(again), "print"), "found")
-    several = found.where("not alone")
-    place = F.struct("id", "mark", "start", "windows")
-    regions = stored(several.groupBy("print", "region").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place")), "regions")
-    hot = stored(regions.groupBy("print").agg(F.count(F.lit(1)).alias("different")).where(F.col("different") > HOT).select("print", F.lit(True).alias("hot")), "hot")
-    wanted = regions.join(small_or_shuffled(hot), "print", "left").select("print", "region", "n", F.coalesce("hot", F.lit(False)).alias("hot"), "place.*")
-    contents = stored(_contents(wanted, _rows(docs, id_col, text_col)), "contents")
-    masks = stored(_by_automaton(contents.where("not hot")).unionByName(_by_window(contents.where("hot"))).where("mask <> 0"), "masks")
-    whole = found.where("alone").select("id", "mark", "start", F.expr("shiftleft(1, int(windows)) - 1").alias("mask"))
-    part = several.join(small_or_shuffled(masks.withColumnRenamed("mask", "bits")), ["print", "region"]).select("id", "mark", "start", F.col("bits").alias("mask"))
-    return whole.unionByName(part)
-
-
-def covered(n: int, rows: Iterable[dict]) -> np.ndarray:
+    removed(every, again)
+    regions = stored(found.groupBy("print", "region").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", "b", "start", "windows")).alias("place")), "regions")
+    contents = _contents(regions, _rows(docs, id_col, text_col))
+    masks = stored(_matched(contents), "masks")
+    removed(regions, contents)
+    out = stored(found.join(small_or_shuffled(masks), ["print", "region"]).select("a", "b", "start", "mask"), "repeated")
+    removed(found, masks)
+    return out
+
+
+def covered(n: int, start: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """The words of a text of n words that windows cover."""
-    edge = np.zeros(n + 1, dtype=np.int64)
-    for r in rows:
-        for k in range(OWN):
-            if r["mask"] >> k & 1:
-                edge[r["start"] + k] += 1
-                edge[r["start"] + k + LENGTH] -= 1
+    first = np.concatenate([start[mask >> k & 1 == 1] + k for k in range(OWN)])
+    edge = np.bincount(first, minlength=n + 1) - np.bincount(first + LENGTH, minlength=n + 1)
     return np.cumsum(edge)[:n] > 0
 
 
@@ -268,13 +346,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Words are runs of bytes other than ASCII white space, unchanged. Null texts have none; texts of fewer than 35 words
     keep all. Rows that repeat an identifier are texts of their own, and a repeated row makes all its windows repeated. A
-    null identifier is an identifier like others. An empty table gives no rows; other columns are not read.
+    null identifier is an identifier like others, and identifiers may be of any type. A text of any length is one value of
+    one task, with some 40 bytes a word. An empty table gives no rows; other columns are not read.
     """
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     # A set: it has the places of one text at most, however often the row is repeated.
-    windows = repeated_windows(docs, id_col, text_col)
-    windows = stored(windows.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "mask")).alias("rows")), "removed")
+    windows = stored(repeated_windows(docs, id_col, text_col).groupBy("a", "b").agg(F.collect_set(F.struct("start", "mask")).alias("rows")), "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,14 +360,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 part = batch.slice(s, 512)
                 n_words, n_removed, digests, kept_texts = [], [], [], []
                 for k in range(part.num_rows):
-                    words = (part.column(1)[k].as_py() or b"").split()
-                    rows, gone = part.column(2)[k].as_py(), 0
-                    if rows:
-                        away = covered(len(words), rows)
-                        gone, total = int(away.sum()), len(words)
+                    words, gone = (part.column(1)[k].as_py() or b"").split(), 0
+                    n_words.append(len(words))
+                    if part.column(2)[k].is_valid:
+                        rows = pa.RecordBatch.from_struct_array(part.column(2)[k].values)
+                        away = covered(len(words), *(np.asarray(c).astype(np.int64) for c in rows.columns))
+                        gone = int(away.sum())
                         words = [w for w, x in zip(words, away.tolist()) if not x]
                     kept = b" ".join(words)
-                    n_words.append(len(words) + gone)
                     n_removed.append(gone)
                     digests.append(hashlib.sha256(kept).hexdigest())
                     if texts:
@@ -299,45 +377,52 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     schema = f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts
     rows = _rows(docs, id_col, text_col)
-    keys = small_or_shuffled(windows.select("id", "mark"))
-    touched = rows.join(keys, ["id", "mark"], "left_semi").join(windows, ["id", "mark"])
-    clean = rows.join(keys, ["id", "mark"], "left_anti").withColumn("rows", F.lit(None).cast(dict(windows.dtypes)["rows"]))
+    keys = small_or_shuffled(windows.select("a", "b"))
+    touched = rows.join(keys, ["a", "b"], "left_semi").join(windows, ["a", "b"])
+    clean = rows.join(keys, ["a", "b"], "left_anti").withColumn("rows", F.lit(None).cast(dict(windows.dtypes)["rows"]))
     return touched.select("doc_id", "text", "rows").unionByName(clean.select("doc_id", "text", "rows")).mapInArrow(run, schema)
 
 
-# A corpus against a reference of bounded size.
-
-def remove_known(docs: DataFrame, reference: list[str], length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_words: int = 2_000_000) -> DataFrame:
-    """Per row: doc_id, n_removed, kept_text, without the words under a match of `length` words with a reference text."""
-    sequences = [t.encode().split() for t in reference]
-    if sum(map(len, sequences)) > most_words:
-        raise ValueError(f"a reference of more than {most_words} words is not broadcast; add it to the corpus and use repeated_passages()")
-    shards, size = [[]], 0
-    for words in sequences:
-        if size > SHARD_WORDS:
-            shards.append([])
-            size = 0
-        shards[-1].append((hashed(words).tolist(), 1))
-        size += len(words)
+# A corpus against a list of texts.
+
+#: Words of a piece of a text that goes through an automaton beside others.
+PIECE = 512
+
+
+def remove_known(docs: DataFrame, reference: list[str], length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_removed, kept_text, without the words under a match of `length` words with a reference text.
+
+    The list is the driver's; its automata, some 70 bytes a word, are broadcast a shard at a time and loaded one after the
+    other. Null and empty texts keep nothing, an empty list removes nothing; rows are independent of each other, so repeated
+    rows and identifiers, null identifiers, other columns and empty tables change nothing.
+    """
+    shards: list[list[np.ndarray]] = [[]]
+    size = 0
+    for text in reference:
+        words = hashed(text.encode().split())
+        for k in range(0, len(words), SHARD_WORDS):  # pieces overlap by a match less one word
+            if size >= SHARD_WORDS:
+                shards.append([])
+                size = 0
+            shards[-1].append(words[k:k + SHARD_WORDS + length - 1])
+            size += len(shards[-1][-1])
     ship(docs.sparkSession)
-    sent = [docs.sparkSession.sparkContext.broadcast(s) for s in shards]
+    sent = [docs.sparkSession.sparkContext.broadcast(pickle.dumps(SuffixAutomaton(s))) for s in shards]
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [SuffixAutomaton(s.value) for s in sent]
         for batch in batches:
-            removed, kept = [], []
-            for value in batch.column(1):
-                words = (value.as_py() or b"").split()
-                symbols, edge = hashed(words).tolist(), np.zeros(len(words) + 1, dtype=np.int64)
-                for automaton in automata:
-                    for k, (n, _) in enumerate(automaton.matches(symbols, length)):
-                        if n >= length:
-                            edge[k + 1 - length] += 1
-                            edge[k + 1] -= 1
-                away = (np.cumsum(edge)[:len(words)] > 0).tolist()
-                removed.append(sum(away))
-                kept.append(b" ".join(w for w, x in zip(words, away) if not x).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_removed", "kept_text"])
+            texts = [(v.as_py() or b"").split() for v in batch.column(1)]
+            hashes = [hashed(words) for words in texts]
+            pieces = [(t, k) for t, h in enumerate(hashes) for k in range(0, len(h), PIECE)]
+            cut = [hashes[t][k:k + PIECE + length - 1] for t, k in pieces]
+            edges = [np.zeros(len(h) + 1, dtype=np.int64) for h in hashes]
+            for shard in sent:
+                for (t, k), found in zip(pieces, pickle.loads(shard.value).matches(cut)):
+                    end = k + np.flatnonzero(found >= length) + 1
+                    edges[t] += np.bincount(end - length, minlength=len(edges[t])) - np.bincount(end, minlength=len(edges[t]))
+            away = [np.cumsum(e)[:-1] > 0 for e in edges]
+            kept = [b" ".join(w for w, x in zip(words, gone.tolist()) if not x).decode("utf-8", "replace") for words, gone in zip(texts, away)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(x.sum()) for x in away], pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_removed", "kept_text"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n_removed bigint, kept_text string")
