@@ -1,4 +1,4 @@
-"""``python -m ordinate RANGE [FILES]``: a slice of files or of standard input, on standard output.
+"""``python -m ordinate RANGE [FILES]``: a range of files or of standard input, on standard output.
 
 Exit status 0; 1 if an input cannot be read or a record is over the limit; 2 for a wrong command line.
 """
@@ -13,17 +13,20 @@ from collections.abc import Sequence
 from ordinate.plans import modes
 from ordinate.plans.explain import explain
 from ordinate.plans.modes import UsageError
-from ordinate.plans.ranges import RangeParseError, parse_range
+from ordinate.plans.ranges import Kind, RangeParseError, parse_range
 from ordinate.plans.translate import DIALECTS, default_dialect, translate
 
 #: A range may begin with a minus sign; it is kept from the option parser behind a character that no argument has.
 GUARD = "\0"
+VERSION = "0.2.0"
+BLOCK = 8 << 20
 _MINUS = re.compile(r"-[0-9]|-:|--[0-9]")
 _VALUED = {"-d", "--delimiter", "--max-record-size", "--io-buffer-size"}
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="ordinate", description="Select the elements of an input in a start:end:step range.")
+    p.add_argument("--version", action="version", version=f"ordinate {VERSION}")
     p.add_argument("range", metavar="RANGE")
     p.add_argument("files", metavar="FILES", nargs="*")
     unit = p.add_mutually_exclusive_group()
@@ -85,26 +88,23 @@ def main(arguments: Sequence[str] | None = None, out=None) -> int:
 def run(r, mode, files: list[str], quiet: bool, limit: int | None, out) -> int:
     from pyspark.sql import SparkSession
 
-    from ordinate.functions.slicing import RecordTooLarge, slice_texts
+    from ordinate.functions.selecting import RecordTooLarge
     from ordinate.session import ship
-    from ordinate.sources.files import SourceError, slice_files
+    from ordinate.sources.files import SourceError, select_files
 
     spark = SparkSession.getActiveSession() or SparkSession.builder.master("local[*]").appName("ordinate").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     ship(spark)
     status = 0
     try:
-        if files:
-            try:
-                sliced = slice_files(spark, files, r, mode, quiet, limit)
-            except SourceError as e:
-                for path, why in e.errors:
-                    print(f"ordinate: {path}: {why}", file=sys.stderr)
-                sliced, status = e.result, 1
-            rows = sliced.orderBy("file_no", "i").select("content")
-        else:
-            given = spark.createDataFrame([(bytearray(sys.stdin.buffer.read()),)], "content binary")
-            rows = slice_texts(given, "content", r, mode, max_record_size=limit)
-        for row in rows.toLocalIterator():
+        if not files and r.kind is Kind.EMPTY:
+            return 0
+        try:
+            selected = select_files(spark, files or [spooled(spark, sys.stdin.buffer)], r, mode, quiet, limit)
+        except SourceError as e:
+            for path, why in e.errors:
+                print(f"ordinate: {path}: {why}", file=sys.stderr)
+            selected, status = e.result, 1
+        for row in selected.orderBy("file_no", "i").select("content").toLocalIterator():
             out.write(bytes(row["content"]))
     except RecordTooLarge as e:
         print(f"ordinate: {e}", file=sys.stderr)
@@ -112,5 +112,19 @@ def run(r, mode, files: list[str], quiet: bool, limit: int | None, out) -> int:
     return status
 
 
+def spooled(spark, stream) -> str:
+    """A stream as a file in the shared folder, written block by block: the driver never holds more than one."""
+    from ordinate.session import shared_path
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_path(spark, "stdin"))
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    try:
+        while block := stream.read(BLOCK):
+            out.write(bytearray(block))
+    finally:
+        out.close()
+    return path.toString()
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -1,4 +1,4 @@
-"""Slices of a text or binary column, value by value, in expressions that stay in the JVM.
+"""Ranges of a text or binary column, value by value, in expressions that stay in the JVM.
 
 A string is taken as its code points. A binary value is taken as its Latin-1 image, in which each byte is one character,
 so that malformed UTF-8 is as good as any other content.
@@ -96,7 +96,7 @@ def _records(parts: Column, delimiter: str) -> Column:
     return let(F.size(parts) - 1, lambda last: F.transform(_content(parts), lambda x, i: F.when(i < last, F.concat(x, F.lit(delimiter))).otherwise(x)))
 
 
-def _slice_records(text: Column, delimiter: str, r: Range) -> Column:
+def _select_records(text: Column, delimiter: str, r: Range) -> Column:
     def of(parts: Column) -> Column:
         if r.step > 0:
             return F.array_join(pick(_records(parts, delimiter), r), "")
@@ -109,21 +109,21 @@ def _slice_records(text: Column, delimiter: str, r: Range) -> Column:
     return let(_parts(text, delimiter), of)
 
 
-def _slice_points(text: Column, r: Range, split: Callable[[Column], Column]) -> Column:
+def _select_points(text: Column, r: Range, split: Callable[[Column], Column]) -> Column:
     """Of characters that `split` tells apart."""
     return F.array_join(pick(split(text), r), "")
 
 
-def _slice_chars(text: Column, r: Range) -> Column:
+def _select_chars(text: Column, r: Range) -> Column:
     """Of a string whose characters are the elements: no array is needed for a window or a reversal."""
     if r.step == -1:
-        return let(F.reverse(text), lambda t: _slice_chars(t, mirrored(r)))
+        return let(F.reverse(text), lambda t: _select_chars(t, mirrored(r)))
     if r.step == 1:
         def window(t: Column) -> Column:
             low, span = bounds(r, F.char_length(t))
             return F.substring(t, low + 1, span)
         return let(text, window)
-    return _slice_points(text, r, lambda t: F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)))
+    return _select_points(text, r, lambda t: F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)))
 
 
 def _strided(binary: Column, r: Range) -> Column:
@@ -153,7 +153,7 @@ def clusters(value: bytes | str) -> list[bytes] | list[str]:
     return [c.encode("utf-8", "surrogateescape") for c in regex.findall(r"\X", bytes(value).decode("utf-8", "surrogateescape"))]
 
 
-def _slice_graphemes(column: Column, r: Range, binary: bool) -> Column:
+def _select_graphemes(column: Column, r: Range, binary: bool) -> Column:
     part = slice(r.start, r.end, r.step)
 
     @F.pandas_udf("binary" if binary else "string")
@@ -168,7 +168,7 @@ def _slice_graphemes(column: Column, r: Range, binary: bool) -> Column:
     return cut(column)
 
 
-def slice_column(column: str | Column, text: Range | str, mode: Mode = LINES, binary: bool = False) -> Column:
+def select_column(column: str | Column, text: Range | str, mode: Mode = LINES, binary: bool = False) -> Column:
     """The selected elements of each value, concatenated as they stand; null stays null.
 
     binary: the column is binary, and so is the result. By bytes the result is always binary.
@@ -180,25 +180,25 @@ def slice_column(column: str | Column, text: Range | str, mode: Mode = LINES, bi
     if r.kind is Kind.EMPTY:
         return F.when(column.isNotNull(), F.lit("").cast("binary") if binary_out else F.lit(""))
     if mode.unit is Unit.GRAPHEMES:
-        return _slice_graphemes(column, r, binary)
+        return _select_graphemes(column, r, binary)
     if mode.unit is Unit.BYTES:
         if r.step == 1:
             def window(b: Column) -> Column:
                 low, span = bounds(r, F.octet_length(b))
                 return F.substring(b, low + 1, span)
             return let(column.cast("binary"), window)
-        return _bytes(_slice_chars(_image(column), r) if r.step == -1 else _strided(column.cast("binary"), r))
+        return _bytes(_select_chars(_image(column), r) if r.step == -1 else _strided(column.cast("binary"), r))
     if mode.unit is Unit.CHARS:
         if not binary:
-            return _slice_chars(column, r)
-        return _bytes(_slice_points(_image(column), r, lambda t: F.regexp_extract_all(t, F.lit(CODE_POINT), F.lit(0))))
+            return _select_chars(column, r)
+        return _bytes(_select_points(_image(column), r, lambda t: F.regexp_extract_all(t, F.lit(CODE_POINT), F.lit(0))))
     if binary:
-        return _bytes(_slice_records(_image(column), mode.delimiter.decode("latin-1"), r))
+        return _bytes(_select_records(_image(column), mode.delimiter.decode("latin-1"), r))
     try:
         delimiter = mode.delimiter.decode()
     except UnicodeDecodeError:  # no string holds it, but a part of one's bytes may
-        return F.decode(_bytes(_slice_records(_image(column), mode.delimiter.decode("latin-1"), r)), "UTF-8")
-    return _slice_records(column, delimiter, r)
+        return F.decode(_bytes(_select_records(_image(column), mode.delimiter.decode("latin-1"), r)), "UTF-8")
+    return _select_records(column, delimiter, r)
 
 
 def elements(column: str | Column, mode: Mode = LINES, binary: bool = False) -> Column:
@@ -239,12 +239,12 @@ def largest_record(column: str | Column, text: Range | str, mode: Mode = LINES,
     return let(elements(column, mode, binary), of)
 
 
-def slice_texts(df: DataFrame, column: str, text: Range | str, mode: Mode = LINES, into: str | None = None, max_record_size: int | None = None) -> DataFrame:
-    """df with the column sliced. A record over the limit is looked for first, in a pass of its own: an expression that
+def select_texts(df: DataFrame, column: str, text: Range | str, mode: Mode = LINES, into: str | None = None, max_record_size: int | None = None) -> DataFrame:
+    """df with the selected elements in place of the column's values. A record over the limit is looked for first, in a pass of its own: an expression that
     raises could be dropped or moved by the optimizer. Nothing is returned then, not even rows before it."""
     binary = dict(df.dtypes)[column] == "binary"
     if max_record_size is not None and (largest := largest_record(column, text, mode, binary)) is not None:
         worst = df.agg(F.max(largest).alias("worst")).first()["worst"]
         if worst is not None and worst > max_record_size:
             raise RecordTooLarge(max_record_size)
-    return df.withColumn(into or column, slice_column(column, text, mode, binary))
+    return df.withColumn(into or column, select_column(column, text, mode, binary))

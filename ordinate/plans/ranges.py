@@ -1,6 +1,6 @@
 """The range language and its planner. Nothing here touches Spark or reads data.
 
-A range is ``start:end[:step]`` with Python's slice meaning. Bounds are signed integers here: a negative one counts from
+A range is ``start:end[:step]`` with Python's meaning. Bounds are signed integers here: a negative one counts from
 the end, and no bound can be "zero from the end", since ``-0`` is ``0``.
 """
 

@@ -10,16 +10,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinate.functions.slicing import elements, slice_column
+from ordinate.functions.selecting import elements, select_column
 from ordinate.operators.positions import with_positions
-from ordinate.operators.rows import slice_rows
+from ordinate.operators.rows import select_rows
 from ordinate.plans.explain import explain
 from ordinate.plans.modes import BYTES, CHARS, GRAPHEMES, LINES, Mode, records
 from ordinate.plans.ranges import parse_range
 from ordinate.plans.translate import sql_bounds, sql_predicate, translate
 from ordinate.session import shared_path, ship
-from ordinate.sources.files import concatenated, slice_files, slice_records
-from ordinate.streaming.slices import slice_stream
+from ordinate.sources.files import concatenated, select_files, select_records
+from ordinate.streaming.ranges import select_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,7 +45,7 @@ def row_oracle(name: str, columns: list[str], order_by: list[str], text: str, by
 
 def add_rows(query: str, name: str, columns: list[str], order_by: list[str], text: str, by: tuple[str, ...] = (), skewed: bool = False) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return slice_rows(table(spark, sf_dir, name).select(*dict.fromkeys([*columns, *order_by, *by])), order_by, text, by=by, position="pos", skewed=skewed).select(*columns, "pos")
+        return select_rows(table(spark, sf_dir, name).select(*dict.fromkeys([*columns, *order_by, *by])), order_by, text, by=by, position="pos", skewed=skewed).select(*columns, "pos")
 
     QUERIES[query] = run
     ORACLES[query] = row_oracle(name, columns, order_by, text, list(by))
@@ -89,7 +89,7 @@ def list_oracle(text: str, n: str, element: str, glue: str = "''") -> str:
 
 def add_column(query: str, name: str, key: str, column: str, text: str, mode: Mode) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cut = slice_column(column, text, mode)
+        cut = select_column(column, text, mode)
         return table(spark, sf_dir, name).select(key, (F.hex(cut) if mode == BYTES else cut).alias("part"))
 
     QUERIES[query] = run
@@ -138,7 +138,7 @@ ORACLES["documents_line_elements"] = r"""
 
 
 def documents_graphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", slice_column("text", "-20:-2", GRAPHEMES).alias("part"))
+    return table(spark, sf_dir, "documents").select("doc_id", select_column("text", "-20:-2", GRAPHEMES).alias("part"))
 
 
 #: No grapheme of these texts is longer than a code point, so that SQL by code points gives the same.
@@ -169,8 +169,8 @@ LINES_SQL = f"""select file_no, unnest(range(len(e) - 1)) as i, unnest(e[:-2]) a
 
 
 def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sliced = slice_records(spark, raw_lines(spark, sf_dir), "3:-40:4")
-    return sliced.select("file_no", "pos", F.col("elem").cast("string").alias("elem"))
+    selected = select_records(spark, raw_lines(spark, sf_dir), "3:-40:4")
+    return selected.select("file_no", "pos", F.col("elem").cast("string").alias("elem"))
 
 
 QUERIES["files_lines_step"] = file_records
@@ -178,7 +178,7 @@ ORACLES["files_lines_step"] = f"select file_no, (i - least(3, n)) // 4 as pos, e
 
 
 def file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = concatenated(slice_files(spark, raw_lines(spark, sf_dir), "-2:"))
+    out = concatenated(select_files(spark, raw_lines(spark, sf_dir), "-2:"))
     return out.select("file_no", F.regexp_replace(F.col("content").cast("string"), "(?s)^==> [^\n]* <==", "==> <==").alias("content"))
 
 
@@ -187,8 +187,8 @@ ORACLES["files_header_concat"] = f"select file_no, '==> <==' || chr(10) || strin
 
 
 def file_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sliced = slice_files(spark, raw_lines(spark, sf_dir), "-300:-100", BYTES, quiet=True)
-    return sliced.select("file_no", "i", F.hex("content").alias("content"))
+    selected = select_files(spark, raw_lines(spark, sf_dir), "-300:-100", BYTES, quiet=True)
+    return selected.select("file_no", "i", F.hex("content").alias("content"))
 
 
 QUERIES["files_bytes_tail"] = file_bytes
@@ -196,12 +196,12 @@ ORACLES["files_bytes_tail"] = f"select file_no, 0::bigint as i, substr(h, length
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream, sliced by user, run to the end of what is there."""
+    """The events as a stream, a range of each user, run to the end of what is there."""
     ship(spark)
     schema = table(spark, sf_dir, "events").select("event_id", "user_id", "value").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     out, state = shared_path(spark, "stream"), shared_path(spark, "stream-state")
-    query = slice_stream(stream, "event_id", "1:-2:2", ["user_id"]).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query = select_stream(stream, "event_id", "1:-2:2", ["user_id"]).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(schema).parquet(out)
 

@@ -1,4 +1,4 @@
-"""A data source of byte ranges: each is read by seeking to it, a piece to a task."""
+"""Data sources of byte ranges, every so many bytes of them, and pieces of text: each is read by seeking, a piece to a task."""
 
 from __future__ import annotations
 
@@ -9,11 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PIECE = 32 << 20
+SCHEMA = "file_no int, src string, i bigint, content binary"
 
 
 class Piece(InputPartition):
-    def __init__(self, number: int, name: str, path: str, start: int, at: int, size: int):
-        self.number, self.name, self.path, self.start, self.at, self.size = number, name, path, start, at, size
+    def __init__(self, number: int, name: str, path: str, start: int, at: int, size: int, step: int = 1, i: int | None = None):
+        self.number, self.name, self.path, self.start, self.at, self.size, self.step = number, name, path, start, at, size, step
+        self.i = at if i is None else i
+
+
+def opened(path: str):
+    from pyarrow import fs
+
+    path = "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
 
 
 class ByteRangeReader(DataSourceReader):
@@ -22,37 +32,106 @@ class ByteRangeReader(DataSourceReader):
         self.piece = int(options.get("piece", PIECE))
 
     def partitions(self) -> list[Piece]:
-        return [Piece(number, name, path, start + at, at, min(self.piece, size - at)) for number, name, path, start, size in self.wanted for at in range(0, max(size, 1), self.piece)]
+        out = []
+        for number, name, path, start, size, step in self.wanted:
+            places = range(0, max(size, 1), self.piece)
+            out += [Piece(number, name, path, start + at, at, min(self.piece, size - at), step, at if step > 0 else places[-1] - at) for at in places]
+        return out
 
-    def read(self, partition: Piece) -> Iterator[tuple]:
+    def read(self, p: Piece) -> Iterator[tuple]:
         content = b""
-        if partition.size:
-            from pyarrow import fs
-
-            path = partition.path
-            path = "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
-            system, inner = fs.FileSystem.from_uri(path)
-            with system.open_input_file(inner) as f:
-                f.seek(partition.start)
-                content = f.read(partition.size)
-        yield partition.number, partition.name, partition.at, content
+        if p.size:
+            with opened(p.path) as f:
+                f.seek(p.start)
+                content = f.read(p.size)
+        if p.step in (1, -1):
+            content = content[::p.step]
+        else:
+            content = content[-p.at % abs(p.step)::abs(p.step)][::1 if p.step > 0 else -1]
+        yield p.number, p.name, p.i, content
 
 
 class ByteRanges(DataSource):
-    """Options: ranges, a JSON list of [number, name, path, start, size]; piece, the most bytes a task reads."""
+    """Options: ranges, a JSON list of [number, name, path, start, size, step]; piece, the most bytes a task reads."""
 
     @classmethod
     def name(cls) -> str:
         return "ordinate_byte_ranges"
 
     def schema(self) -> str:
-        return "file_no int, src string, i bigint, content binary"
+        return SCHEMA
 
     def reader(self, schema) -> ByteRangeReader:
         return ByteRangeReader(self.options)
 
 
-def byte_ranges(spark: SparkSession, wanted: list[tuple[int, str, str, int, int]], piece: int = PIECE) -> DataFrame:
-    """(file_no, src, i, content): the bytes of each range, in pieces; i is a piece's offset in its range."""
+def byte_ranges(spark: SparkSession, wanted: list[tuple[int, str, str, int, int, int]], piece: int | None = None) -> DataFrame:
+    """(file_no, src, i, content): every step-th byte of each range from its first on, in pieces in the order of i; with a
+    negative step the same bytes in descending order."""
     spark.dataSource.register(ByteRanges)
-    return spark.read.format(ByteRanges.name()).option("ranges", json.dumps(wanted)).option("piece", piece).load()
+    return spark.read.format(ByteRanges.name()).option("ranges", json.dumps(wanted)).option("piece", piece or PIECE).load()
+
+
+def starts_at(data: bytes, k: int) -> int:
+    """Where the first code point at or after data[k] starts; data has three bytes before k and three after, where there are any.
+
+    Well-formed sequences never overlap: only one that starts up to three bytes before can reach over k.
+    """
+    for p in range(max(0, k - 3), k):
+        for n in range(k - p + 1, 5):
+            try:
+                if len(data[p:p + n]) == n and len(data[p:p + n].decode()) == 1:
+                    return p + n
+            except UnicodeDecodeError:
+                continue
+    return k
+
+
+class TextPieceReader(DataSourceReader):
+    def __init__(self, options):
+        self.files = json.loads(options["files"])
+        self.piece, self.lines = int(options["piece"]), options["lines"] == "true"
+
+    def partitions(self) -> list[Piece]:
+        return [Piece(number, name, path, 0, at, size) for number, name, path, size in self.files for at in range(0, max(size, 1), self.piece)]
+
+    def border(self, f, at: int, size: int) -> int:
+        if at <= 0 or at >= size:
+            return max(0, min(at, size))
+        if not self.lines:
+            f.seek(max(0, at - 3))
+            return max(0, at - 3) + starts_at(f.read(min(at, 3) + 3), min(at, 3))
+        f.seek(at - 1)  # a line feed right before ends the piece here
+        while block := f.read(1 << 16):
+            if (k := block.find(b"\n")) >= 0:
+                return f.tell() - len(block) + k + 1
+        return size
+
+    def read(self, p: Piece) -> Iterator[tuple]:
+        with opened(p.path) as f:
+            first, last = self.border(f, p.at, p.size), self.border(f, p.at + self.piece, p.size)
+            f.seek(first)
+            yield p.number, p.name, p.at, f.read(max(0, last - first))
+
+
+class TextPieces(DataSource):
+    """Options: files, a JSON list of [number, name, path, size]; piece, the bytes of a piece or so; lines, whether it ends with a line."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "ordinate_text_pieces"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> TextPieceReader:
+        return TextPieceReader(self.options)
+
+
+def text_pieces(spark: SparkSession, files: list[tuple[int, str, str, int]], lines: bool, piece: int | None = None) -> DataFrame:
+    """(file_no, src, i, content): files cut between code points, or after line feeds, in pieces in the order of i.
+
+    No grapheme cluster reaches over a line feed. A file without any is one piece if it is cut by lines.
+    """
+    spark.dataSource.register(TextPieces)
+    return spark.read.format(TextPieces.name()).option("files", json.dumps(files)).option("piece", piece or PIECE).option("lines", str(lines).lower()).load()

@@ -1,4 +1,4 @@
-"""Slices of streams: what can be told without the end of the input.
+"""Ranges of streams: what can be told without the end of the input.
 
 Windows and strides need a counter, a range that stops short of the end a queue of as many rows as it leaves out. Tails
 and reversals need the end, which a stream does not have: take them from a table that the stream was written to.
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ordinate.functions.selecting import RecordTooLarge
+from ordinate.names import free_names
 from ordinate.plans.modes import UsageError
 from ordinate.plans.ranges import Kind, Range, as_range
 
@@ -30,13 +32,14 @@ def unpacked(data: bytes) -> pd.DataFrame:
     return pa.ipc.open_stream(data).read_pandas()
 
 
-def slice_stream(stream: DataFrame, order_by: str, text: Range | str, by: Sequence[str] = ()) -> DataFrame:
+def select_stream(stream: DataFrame, order_by: str, text: Range | str, by: Sequence[str] = (), record: str | None = None, max_record_size: int | None = None) -> DataFrame:
     """The rows of a stream at the positions of a range, in append mode.
 
     Rows must come in the order of order_by from one micro-batch to the next (one ordered source, or a sequence column);
-    within a micro-batch they are sorted by it. by: columns whose groups are sliced each on its own, side by side; without
+    within a micro-batch they are sorted by it. by: columns whose groups are taken each on its own, side by side; without
     them a stream's positions are one sequence and one task counts them. Of a range with an end -m the last m rows so far
-    are held back, and are never given out if no more come.
+    are held back, and are never given out if no more come. max_record_size: bytes that the record, a string or binary
+    column, may have in rows that such a range holds back; a larger one fails the query with RecordTooLarge.
     """
     r = as_range(text)
     if r.kind is Kind.COPY:
@@ -44,8 +47,9 @@ def slice_stream(stream: DataFrame, order_by: str, text: Range | str, by: Sequen
     if r.kind is Kind.EMPTY:
         return stream.where(F.lit(False))
     if r.kind in (Kind.TAIL, Kind.REVERSE):
-        raise UsageError(f"{r} depends on the end of the input: write the stream to a table and slice that")
+        raise UsageError(f"{r} depends on the end of the input: write the stream to a table and take the range of that")
     names = stream.columns
+    place, everything = free_names(stream, "place", "all_rows")
     start, step = r.start, r.step
     held_back = -r.end if r.kind is Kind.LAG else 0
     end = r.end if r.end is not None and r.end >= 0 else None
@@ -62,14 +66,16 @@ def slice_stream(stream: DataFrame, order_by: str, text: Range | str, by: Sequen
             chosen &= at < end
         out = rows[chosen]
         if held_back:
-            out = out.assign(__at=at[chosen])
+            if max_record_size is not None and record and (out[record].dropna().map(lambda v: len(v.encode() if isinstance(v, str) else v)) > max_record_size).any():
+                raise RecordTooLarge(max_record_size)
+            out = out.assign(**{place: at[chosen]})
             if queue is not None:
                 out = pd.concat([unpacked(bytes(queue)), out], ignore_index=True)
-            ready = out["__at"] < seen - held_back
+            ready = out[place] < seen - held_back
             queue = packed(out[~ready])
             out = out[ready]
         state.update((seen, queue))
         yield out[names]
 
-    keyed = stream if by else stream.withColumn("__all", F.lit(0))
-    return keyed.groupBy(*(by or ["__all"])).applyInPandasWithState(count, stream.schema, "seen long, queue binary", "append", GroupStateTimeout.NoTimeout)
+    keyed = stream if by else stream.withColumn(everything, F.lit(0))
+    return keyed.groupBy(*(by or [everything])).applyInPandasWithState(count, stream.schema, "seen long, queue binary", "append", GroupStateTimeout.NoTimeout)

@@ -2,12 +2,12 @@ import itertools
 
 import pytest
 
-from ordinate.functions.slicing import RecordTooLarge
+from ordinate.functions.selecting import RecordTooLarge
 from ordinate.plans.modes import BYTES, CHARS, GRAPHEMES, LINES, records
 from ordinate.plans.ranges import parse_range
 from ordinate.sources import files
 from ordinate.sources.ranges import byte_ranges
-from tests.test_slicing import RANGES, model
+from tests.test_selecting import RANGES, model
 
 FIXTURES = {
     "five": "".join(f"line{k}\n" for k in range(5)).encode(),
@@ -35,39 +35,39 @@ def folder(tmp_path_factory):
 @pytest.mark.parametrize("text", RANGES[::2])
 def test_all_files(spark, folder, text, mode):
     paths = [str(folder / n) for n in FIXTURES]
-    got = files.output(files.slice_files(spark, paths, text, mode))
+    got = files.output(files.select_files(spark, paths, text, mode))
     assert got == b"".join(f"==> {folder / n} <==\n".encode() + model(d, text, mode) for n, d in FIXTURES.items())
 
 
 def test_headers(spark, folder):
     a, b = str(folder / "open"), str(folder / "five")
-    assert files.output(files.slice_files(spark, [a], ":1")) == b"alpha\n"
-    assert files.output(files.slice_files(spark, [b, a, b], "-1:", quiet=True)) == b"line4\ngammaline4\n"
-    assert files.output(files.slice_files(spark, [a, b], "-1:")) == f"==> {a} <==\ngamma==> {b} <==\nline4\n".encode()
-    assert files.output(files.slice_files(spark, [a, b], "3:1")) == f"==> {a} <==\n==> {b} <==\n".encode()
-    assert {bytes(r.content) for r in files.concatenated(files.slice_files(spark, [a, b], ":1")).collect()} == {f"==> {a} <==\nalpha\n".encode(), f"==> {b} <==\nline0\n".encode()}
+    assert files.output(files.select_files(spark, [a], ":1")) == b"alpha\n"
+    assert files.output(files.select_files(spark, [b, a, b], "-1:", quiet=True)) == b"line4\ngammaline4\n"
+    assert files.output(files.select_files(spark, [a, b], "-1:")) == f"==> {a} <==\ngamma==> {b} <==\nline4\n".encode()
+    assert files.output(files.select_files(spark, [a, b], "3:1")) == f"==> {a} <==\n==> {b} <==\n".encode()
+    assert {bytes(r.content) for r in files.concatenated(files.select_files(spark, [a, b], ":1")).collect()} == {f"==> {a} <==\nalpha\n".encode(), f"==> {b} <==\nline0\n".encode()}
 
 
 @pytest.mark.parametrize("text", [":1", "3:1"])
 def test_a_missing_file_does_not_stop_the_others(spark, folder, text):
     a, b, c = str(folder / "open"), str(folder / "absent"), str(folder / "five")
     with pytest.raises(files.SourceError, match="absent: No such file") as e:
-        files.slice_files(spark, [a, b, c], text)
+        files.select_files(spark, [a, b, c], text)
     want = [f"==> {p} <==\n".encode() + model(FIXTURES[n], text, LINES) for p, n in ((a, "open"), (c, "five"))]
     assert files.output(e.value.result) == b"".join(want)
-    assert files.output(files.slice_files(spark, [a, b, c], text, strict=False)) == b"".join(want)
+    assert files.output(files.select_files(spark, [a, b, c], text, strict=False)) == b"".join(want)
 
 
 def test_byte_pieces(spark, folder):
     path = f"file:{folder / 'letters'}"
-    got = byte_ranges(spark, [(0, "x", path, 3, 11), (1, "y", path, 26, 0)], piece=4).collect()
+    got = byte_ranges(spark, [(0, "x", path, 3, 11, 1), (1, "y", path, 26, 0, 1)], piece=4).collect()
     assert [(r.file_no, r.i, bytes(r.content)) for r in sorted(got, key=lambda r: (r.file_no, r.i))] == [(0, 0, b"defg"), (0, 4, b"hijk"), (0, 8, b"lmn"), (1, 0, b"")]
 
 
 def test_record_limit(spark, folder):
     with pytest.raises(RecordTooLarge):
-        files.slice_files(spark, [str(folder / "five")], "-2:", max_record_size=5)
-    assert files.output(files.slice_files(spark, [str(folder / "five")], "-2:", max_record_size=6)) == b"line3\nline4\n"
+        files.select_files(spark, [str(folder / "five")], "-2:", max_record_size=5)
+    assert files.output(files.select_files(spark, [str(folder / "five")], "-2:", max_record_size=6)) == b"line3\nline4\n"
 
 
 def test_large_files_by_splits(spark, tmp_path):
@@ -84,7 +84,7 @@ def test_large_files_by_splits(spark, tmp_path):
         assert [r[1] for r in rows] == [*range(200), *range(91)]
         assert [r[3] for r in rows] == [True] * 290 + [False] and {r[4] for r in rows} == {200, 91}
         for text in ("5:9", "-4:", "::50", "-60::7", "3:-85", "::-1", "::-40", "-2::-30", "60:10:-25", "4:2"):
-            got = sorted((r.file_no, r.pos, bytes(r.elem)) for r in files.slice_records(spark, paths, text).collect())
+            got = sorted((r.file_no, r.pos, bytes(r.elem)) for r in files.select_records(spark, paths, text).collect())
             for no, n in enumerate(data):
                 assert b"".join(e for f, _, e in got if f == no) == model(data[n], text, LINES), (text, n)
     finally:

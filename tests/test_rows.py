@@ -20,8 +20,8 @@ def test_table(table, text, top, monkeypatch):
     monkeypatch.setattr(rows, "TOP", top)
     want = [list(range(12))[i] for i in parse_range(text).positions(12)]
     if text != ":":
-        assert [r.k for r in rows.slice_rows(table, "k", text).collect()] == want
-    placed = rows.slice_rows(table, "k", text, position="pos")
+        assert [r.k for r in rows.select_rows(table, "k", text).collect()] == want
+    placed = rows.select_rows(table, "k", text, position="pos")
     assert placed.columns == ["k", "v", "pos"]
     assert sorted((r.pos, r.k) for r in placed.collect()) == list(enumerate(want))
 
@@ -32,7 +32,7 @@ def test_groups(spark, text, skewed):
     data = [(g, k) for g, n in (("a", 6), ("b", 1), ("c", 3), (None, 4)) for k in range(n)]
     df = spark.createDataFrame(data, "g string, k int").repartition(3)
     got = {}
-    for r in rows.slice_rows(df, "k", text, by=["g"], position="pos", skewed=skewed).collect():
+    for r in rows.select_rows(df, "k", text, by=["g"], position="pos", skewed=skewed).collect():
         got.setdefault(r.g, []).append((r.pos, r.k))
     for g, group in itertools.groupby(data, key=lambda x: x[0]):
         keys = [k for _, k in group]
@@ -42,23 +42,23 @@ def test_groups(spark, text, skewed):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "k int")
     for text in RANGES:
-        assert rows.slice_rows(none, "k", text, position="pos").count() == 0
+        assert rows.select_rows(none, "k", text, position="pos").count() == 0
 
 
 def test_a_static_empty_range_reads_nothing(table):
-    plan = rows.slice_rows(table, "k", "5:3")._jdf.queryExecution().optimizedPlan().toString()
+    plan = rows.select_rows(table, "k", "5:3")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("LocalRelation <empty>")
 
 
 def test_a_head_is_one_top_k(table):
-    plan = rows.slice_rows(table, "k", "2:5")._jdf.queryExecution().executedPlan().toString()
+    plan = rows.select_rows(table, "k", "2:5")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "SinglePartition" not in plan
 
 
 def test_group_heads_and_tails_are_cut_before_the_shuffle(spark):
     df = spark.range(20).selectExpr("id % 3 as g", "id as k")
     for text in (":2", "-2:"):
-        assert "WindowGroupLimit" in rows.slice_rows(df, "k", text, by=["g"])._jdf.queryExecution().executedPlan().toString()
+        assert "WindowGroupLimit" in rows.select_rows(df, "k", text, by=["g"])._jdf.queryExecution().executedPlan().toString()
 
 
 def test_positions_across_partitions(spark):

@@ -1,7 +1,7 @@
 import regex
 import pytest
 
-from ordinate.functions.slicing import RecordTooLarge, elements, slice_column, slice_texts
+from ordinate.functions.selecting import RecordTooLarge, elements, select_column, select_texts
 from ordinate.plans.modes import BYTES, CHARS, GRAPHEMES, LINES, records
 from ordinate.plans.ranges import parse_range
 
@@ -40,7 +40,7 @@ MODES = [LINES, BYTES, CHARS, GRAPHEMES, records(","), records("||"), records("a
 @pytest.mark.parametrize("mode", MODES, ids=lambda m: f"{m.unit.name}-{m.delimiter!r}")
 def test_strings(spark, mode):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "k int, t string")
-    got = df.select("k", *(slice_column("t", r, mode).alias(f"r{j}") for j, r in enumerate(RANGES))).collect()
+    got = df.select("k", *(select_column("t", r, mode).alias(f"r{j}") for j, r in enumerate(RANGES))).collect()
     for row in got:
         for j, r in enumerate(RANGES):
             t = TEXTS[row.k]
@@ -52,7 +52,7 @@ def test_strings(spark, mode):
 @pytest.mark.parametrize("mode", [LINES, BYTES, CHARS, GRAPHEMES, records(b"\0"), records(b"\xff"), records(b"\x81")], ids=lambda m: f"{m.unit.name}-{m.delimiter!r}")
 def test_binaries(spark, mode):
     df = spark.createDataFrame([(k, None if t is None else bytearray(t)) for k, t in enumerate(BINARIES)], "k int, t binary")
-    got = df.select("k", *(slice_column("t", r, mode, binary=True).alias(f"r{j}") for j, r in enumerate(RANGES))).collect()
+    got = df.select("k", *(select_column("t", r, mode, binary=True).alias(f"r{j}") for j, r in enumerate(RANGES))).collect()
     for row in got:
         for j, r in enumerate(RANGES):
             t = BINARIES[row.k]
@@ -82,6 +82,6 @@ def test_record_limit(spark, text, mode, limit, fails):
     df = spark.createDataFrame([("ab\ncd\ntoolong\nef\n",)], "t string")
     if fails:
         with pytest.raises(RecordTooLarge, match=f"max-record-size={limit} bytes"):
-            slice_texts(df, "t", text, mode, max_record_size=limit)
+            select_texts(df, "t", text, mode, max_record_size=limit)
     else:
-        assert slice_texts(df, "t", text, mode, max_record_size=limit).count() == 1
+        assert select_texts(df, "t", text, mode, max_record_size=limit).count() == 1

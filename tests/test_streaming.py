@@ -4,7 +4,7 @@ import pytest
 
 from ordinate.plans.modes import UsageError
 from ordinate.plans.ranges import parse_range
-from ordinate.streaming.slices import slice_stream
+from ordinate.streaming.ranges import select_stream
 
 COUNTER = itertools.count()
 
@@ -13,7 +13,7 @@ def run(spark, folder, text, by=()):
     """The rows of a stream of five files, a micro-batch each."""
     source = spark.readStream.schema("k long, g string").option("maxFilesPerTrigger", 1).parquet(str(folder))
     name = f"out{next(COUNTER)}"
-    query = slice_stream(source, "k", text, by).writeStream.format("memory").queryName(name).outputMode("append").start()
+    query = select_stream(source, "k", text, by).writeStream.format("memory").queryName(name).outputMode("append").start()
     try:
         query.processAllAvailable()
     finally:
