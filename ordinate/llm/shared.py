@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ordinate.names import free_name
 from ordinate.session import delete, removed, shared_path, ship, stored, task_count
 
 __all__ = ["SPACE", "WORD", "delete", "free_name", "integral", "removed", "shared_path", "ship", "small_or_shuffled", "stored", "task_count", "text_or_empty"]
@@ -22,14 +23,6 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """The name, or a longer one, that no column of df has, whatever its case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def integral(df: DataFrame, column: str) -> None:
     """Raise unless the column holds whole numbers: identifiers are compared and sent as such."""
     kind = dict(df.dtypes)[column]

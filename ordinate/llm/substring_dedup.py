@@ -3,17 +3,17 @@
 A reference is cut into shards of bounded size, each shard's suffix automaton is broadcast, and texts are streamed through
 it for matching statistics; words under a match of the length are removed.
 
-remove_known() has a list of texts for a reference. repeated_passages() holds a corpus against itself. Its reference is
-one place of each window of 35 words that occurs again, and what is streamed through a shard is the text around such
-windows, each different text once. Hashes only choose them:
+remove_known() has a list of texts for a reference. repeated_passages() holds a corpus against itself. Its reference is one
+place of each window of 35 words that occurs again, and what is streamed through a shard is the text of all documents around
+the windows that the shard has. Hashes only choose them:
 
 A fingerprint is the hash of 18 words, and a window belongs to the smallest of its 18 fingerprints, so equal windows
 belong to equal fingerprints. Neighbouring windows of one fingerprint are a region. Regions whose fingerprint occurs once
-hold nothing repeated and drop out; equal regions become one with a count; of each window whose hash occurs again, one
-place becomes part of the reference, where neighbours join up to spans. Spans are dealt to shards by hash, so that no
-passage, however often it occurs, makes a shard larger. Automata are built in tasks, some to a round, and a round's are
-broadcast: as many rounds as the distinct repeated text of the corpus fills, each of at most SHARDS times SHARD_WORDS words
-or so, while each region goes through the shards of its windows only.
+hold nothing repeated and drop out. Where all regions of a fingerprint are equal, one of them is taken into the reference;
+else the hashes of its regions' windows tell which windows occur again, and one place of each is. Neighbouring windows of
+the reference join up to spans, which are cut every PIECE words and dealt to shards by hash, so that no passage, however
+often it occurs, makes a shard larger. Automata are built in tasks and broadcast SHARDS at a time, in as many rounds as the
+distinct repeated text of the corpus fills; the text around a window goes through that window's shard only.
 """
 
 from __future__ import annotations
@@ -35,9 +35,11 @@ LENGTH = 35
 GRAM = 18
 OWN = LENGTH - GRAM + 1  # fingerprints in a window, and most windows in a region
 
-#: Words of a shard (its automaton has some 70 bytes a word), and shards of a round.
+#: Words of a shard or so (its automaton has some 70 bytes a word), and shards of a round.
 SHARD_WORDS = 30_000
-SHARDS = 24
+SHARDS = 32
+#: Words at which a span of the reference is cut, and of a piece of a text that remove_known() sends through an automaton.
+PIECE = 512
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 MIX2, MIX3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -208,47 +210,66 @@ def _places(docs: DataFrame) -> DataFrame:
     return docs.select("a", "b", "text").mapInArrow(run, "a bigint, b bigint, start int, windows smallint, print bigint, region bigint")
 
 
-def _contents(regions: DataFrame, docs: DataFrame) -> DataFrame:
-    """(print, region, n, words, windows) of each region, from the text of one of its places; windows are their hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs(BASES[1])
-        for batch in batches:
-            for k in range(batch.num_rows):
-                words = hashed((batch.column(0)[k].as_py() or b"").split())
-                rows = pa.RecordBatch.from_struct_array(batch.column(1)[k].values)
-                start, count = (np.asarray(rows.column(c)).astype(np.int64) for c in ("start", "windows"))
-                cut = [words[s:s + n + LENGTH - 1].tobytes() for s, n in zip(start, count)]
-                ends = np.cumsum(count)
-                at = np.arange(ends[-1]) + np.repeat(start - ends + count, count)
-                windows = runs.at(runs.sums(words), at, at + LENGTH).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(windows))
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("print", "region", "n")), pa.array(cut, pa.binary()), lists], names=["print", "region", "n", "words", "windows"])
-
-    by_text = stored(regions.groupBy("place.a", "place.b").agg(F.collect_list(F.struct("place.start", "place.windows", "print", "region", "n")).alias("rows")), "wanted")
+def _by_text(rows: DataFrame, columns: list[str], docs: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow(run) over (a, b, text, rows) of each text that rows (a, b, columns) name; a text that repeats comes once."""
+    by_text = stored(rows.groupBy("a", "b").agg(F.collect_list(F.struct(*columns)).alias("rows")), "wanted")
     some = docs.join(small_or_shuffled(by_text.select("a", "b")), ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
-    found = some.join(by_text, ["a", "b"]).select("text", "rows").mapInArrow(run, "print bigint, region bigint, n bigint, words binary, windows array<bigint>")
-    out = stored(found, "contents")
+    out = stored(some.join(by_text, ["a", "b"]).select("a", "b", "text", "rows").mapInArrow(run, schema), "by-text")
     removed(by_text)
     return out
 
 
-def spans(words: np.ndarray, mask: int) -> list[np.ndarray]:
-    """The words under each run of neighbouring windows of a mask."""
-    out, k = [], 0
-    while mask >> k:
-        if not mask >> k & 1:
-            k += 1
-            continue
-        first = k
-        while mask >> k & 1:
-            k += 1
-        out.append(words[first:k + LENGTH - 1])
-    return out
+def _texts_and_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, pa.RecordBatch]]:
+    """(a, b, word hashes, rows) of _by_text()."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            words = hashed((batch.column(2)[k].as_py() or b"").split())
+            yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), words, pa.RecordBatch.from_struct_array(batch.column(3)[k].values)
+
+
+def _window_hashes(regions: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, start, print, region, n, windows) of each region, with the hashes of its windows."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(BASES[1])
+        for a, b, words, rows in _texts_and_rows(batches):
+            start, count = (np.asarray(rows.column(c)).astype(np.int64) for c in ("start", "windows"))
+            ends = np.cumsum(count)
+            at = np.arange(ends[-1]) + np.repeat(start - ends + count, count)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(runs.at(runs.sums(words), at, at + LENGTH).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([a] * len(start), pa.int64()), pa.array([b] * len(start), pa.int64()), *(rows.column(c) for c in ("start", "print", "region", "n")), lists], names=["a", "b", "start", "print", "region", "n", "windows"])
+
+    return _by_text(regions, ["start", "windows", "print", "region", "n"], docs, run, "a bigint, b bigint, start int, print bigint, region bigint, n bigint, windows array<bigint>")
+
+
+def runs_of(first: np.ndarray, count: np.ndarray, piece: int | None = None) -> list[tuple[int, int]]:
+    """(first, end) of the runs of neighbouring windows that ranges of windows make up, cut at every `piece`."""
+    n = int((first + count).max()) + 1
+    edge = np.bincount(first, minlength=n + 1) - np.bincount(first + count, minlength=n + 1)
+    there = np.cumsum(edge)[:n] > 0
+    change = np.diff(there.astype(np.int8), prepend=0, append=0)
+    if piece:
+        cuts = np.arange(piece, n, piece)
+        cuts = cuts[there[cuts] & there[cuts - 1]]
+        starts, ends = np.sort(np.concatenate([np.flatnonzero(change == 1), cuts])), np.sort(np.concatenate([np.flatnonzero(change == -1), cuts]))
+    else:
+        starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    return list(zip(starts.tolist(), ends.tolist()))
+
+
+def _spans(reference: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, piece, words) of the spans of a reference (a, b, first, count), cut into pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, words, rows in _texts_and_rows(batches):
+            found = runs_of(*(np.asarray(c).astype(np.int64) for c in rows.columns), PIECE)
+            yield pa.RecordBatch.from_arrays([pa.array([a] * len(found), pa.int64()), pa.array([b] * len(found), pa.int64()), pa.array([s // PIECE for s, _ in found], pa.int32()), pa.array([words[s:e + LENGTH - 1].tobytes() for s, e in found], pa.binary())], names=["a", "b", "piece", "words"])
 
-def _automata(reference: DataFrame) -> DataFrame:
-    """(round, shard, automaton) of a reference (shard, words, mask), each shard in one task."""
+    return _by_text(reference, ["first", "count"], docs, run, "a bigint, b bigint, piece int, words binary")
+
+
+def _automata(spans: DataFrame) -> DataFrame:
+    """(shard, automaton, round) of spans (shard, words), each shard in one task."""
 
     def built(shard: int, sequences: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([pickle.dumps(SuffixAutomaton(sequences))], pa.binary()), pa.array([shard // SHARDS], pa.int64())], names=["shard", "automaton", "round"])
@@ -256,88 +277,118 @@ def _automata(reference: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for shard, words, mask in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            for shard, words in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if held and shard != now:
                     yield built(now, held)
                     held = []
                 now = shard
-                held += spans(np.frombuffer(words, dtype=np.uint64), mask)
+                held.append(np.frombuffer(words.as_py(), dtype=np.uint64))
         if held:
             yield built(now, held)
 
-    return reference.select("shard", "words", "mask").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard bigint, automaton binary, round bigint")
+    return spans.select("shard", "words").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard bigint, automaton binary, round bigint")
+
+
+def _streams(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, shard, first, words, round): the text around the windows of found (a, b, start, shard, mask), by the shard that has them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, words, rows in _texts_and_rows(batches):
+            start, shard, mask = (np.asarray(c).astype(np.int64) for c in rows.columns)
+            out = []
+            for s in np.unique(shard):
+                here = shard == s
+                first = np.concatenate([start[here][mask[here] >> k & 1 == 1] + k for k in range(OWN)])
+                out += [(int(s), x, words[x:y + LENGTH - 1].tobytes()) for x, y in runs_of(first, np.ones_like(first))]
+            shards, firsts, texts = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array([a] * len(out), pa.int64()), pa.array([b] * len(out), pa.int64()), pa.array(shards, pa.int64()), pa.array(firsts, pa.int64()), pa.array(texts, pa.binary())], names=["a", "b", "shard", "first", "words"])
+
+    return _by_text(found, ["start", "shard", "mask"], docs, run, "a bigint, b bigint, shard bigint, first bigint, words binary")
 
-def _streamed(candidates: DataFrame, sent) -> DataFrame:
-    """(print, region, mask): bit k for the region's k-th window if its shard's automaton has a match of it."""
+
+def _matched(streams: DataFrame, sent) -> DataFrame:
+    """(a, b, first, count): the runs of windows for which a shard's automaton has a match of their whole length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: dict[int, SuffixAutomaton] = {}
         for batch in batches:
-            shards, masks = np.asarray(batch.column(2)), np.zeros(batch.num_rows, dtype=np.int32)
-            words = [np.frombuffer(w.as_py(), dtype=np.uint64) for w in batch.column(3)]
+            shards = np.asarray(batch.column(2))
+            rows, firsts, counts = [], [], []
             for shard in np.unique(shards):
                 if shard not in loaded:
                     loaded[shard] = pickle.loads(sent.value[int(shard)])
                 at = np.flatnonzero(shards == shard)
-                for k, lengths in zip(at, loaded[shard].matches([words[k] for k in at])):
-                    hit = np.flatnonzero(lengths[LENGTH - 1:] >= LENGTH)
-                    masks[k] = (1 << hit).sum()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masks)], names=["print", "region", "mask"])
-
-    return candidates.select("print", "region", "shard", "words").mapInArrow(run, "print bigint, region bigint, mask int").where("mask <> 0")
-
-
-def _matched(contents: DataFrame) -> DataFrame:
-    """(print, region, mask) of the regions with windows that occur again, as the automata find them."""
-    spark = contents.sparkSession
-    windows = contents.select("print", "region", "n", F.posexplode("windows").alias("k", "window"))
-    place = F.struct("region", "k")
-    again = windows.groupBy("print", "window").agg(F.sum("n").alias("n"), F.min(place).alias("place")).where("n > 1")
-    again = stored(again.select("print", "window", F.col("place.region").alias("of"), F.col("place.k").alias("at")), "windows-again")
-    reference = stored(again.groupBy("print", F.col("of").alias("region")).agg(F.bit_or(F.expr("shiftleft(1, at)")).alias("mask")), "reference")
-    size = F.expr(f"bit_count(mask) + {LENGTH - 1} * bit_count(mask & ~shiftleft(mask, 1))")
-    shards = max(1, -(-(reference.agg(F.sum(size).alias("n")).first()["n"] or 0) // SHARD_WORDS))
-    shard = lambda region: F.pmod(F.xxhash64("print", region), F.lit(shards))
-    texts = contents.select("print", "region", "words")
-    automata = _automata(reference.join(texts, ["print", "region"]).withColumn("shard", shard("region")))
-    wanted = windows.select("print", "region", "window").join(small_or_shuffled(again), ["print", "window"]).select("print", "region", shard("of").alias("shard")).distinct()
-    candidates = wanted.join(texts, ["print", "region"]).withColumn("round", F.expr(f"shard div {SHARDS}"))
-    paths = [shared_path(spark, name) for name in ("automata", "candidates", "masks")]
-    automata.write.partitionBy("round").parquet(paths[0])
-    if shards > SHARDS:  # a round's candidates in few files, and those of a passage that occurs everywhere in many tasks
-        candidates = candidates.repartitionByRange(task_count(contents), "shard", "region")
-    candidates.write.partitionBy("round").parquet(paths[1])
-    removed(again, reference)
-    for k in range(-(-shards // SHARDS)):
-        rows = spark.read.schema("shard bigint, automaton binary, round bigint").parquet(paths[0]).where(F.col("round") == k).collect()
-        sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["automaton"]) for r in rows})
-        _streamed(spark.read.schema("print bigint, region bigint, shard bigint, words binary, round bigint").parquet(paths[1]).where(F.col("round") == k), sent).write.parquet(f"{paths[2]}/{k}")
-        sent.destroy()
-    delete(spark, *paths[:2])
-    masks = spark.read.schema("print bigint, region bigint, mask int").option("recursiveFileLookup", "true").parquet(paths[2])
-    return masks.groupBy("print", "region").agg(F.bit_or("mask").alias("mask"))
+                for k, lengths in zip(at, loaded[shard].matches([np.frombuffer(batch.column(4)[k].as_py(), dtype=np.uint64) for k in at])):
+                    change = np.diff((lengths[LENGTH - 1:] >= LENGTH).astype(np.int8), prepend=0, append=0)
+                    starts = np.flatnonzero(change == 1)
+                    rows += [k] * len(starts)
+                    firsts.append(starts + batch.column(3)[k].as_py())
+                    counts.append(np.flatnonzero(change == -1) - starts)
+            if rows:
+                marks = batch.select([0, 1]).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*marks.columns, pa.array(np.concatenate(firsts)), pa.array(np.concatenate(counts))], names=["a", "b", "first", "count"])
+
+    return streams.select("a", "b", "shard", "first", "words").mapInArrow(run, "a bigint, b bigint, first bigint, count bigint")
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b, start, mask) of the regions that hold windows which occur elsewhere."""
-    every = stored(_places(_rows(docs, id_col, text_col)), "places")
-    again = stored(every.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "prints")
+    """(a, b, first, count) of the runs of windows that occur elsewhere, as the automata find them."""
+    spark, texts = docs.sparkSession, _rows(docs, id_col, text_col)
+    every = stored(_places(texts), "places")
+    again = every.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("one"), F.max("region").alias("two")).where("n > 1")
+    again = stored(again.select("print", (F.col("one") == F.col("two")).alias("alone")), "prints")
     found = stored(every.join(small_or_shuffled(again), "print"), "found")
     removed(every, again)
-    regions = stored(found.groupBy("print", "region").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", "b", "start", "windows")).alias("place")), "regions")
-    contents = _contents(regions, _rows(docs, id_col, text_col))
-    masks = stored(_matched(contents), "masks")
-    removed(regions, contents)
-    out = stored(found.join(small_or_shuffled(masks), ["print", "region"]).select("a", "b", "start", "mask"), "repeated")
-    removed(found, masks)
-    return out
+    regions = stored(found.groupBy("print", "region", "alone").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", "b", "start", "windows")).alias("place")).select("print", "region", "alone", "n", "place.*"), "regions")
+
+    # Which windows occur again, and the place of each that the reference takes.
+    hashes = _window_hashes(regions.where("not alone"), texts)
+    windows = hashes.select("print", "region", "n", "a", "b", F.posexplode("windows").alias("k", "window"), "start").withColumn("at", F.col("start") + F.col("k"))
+    again = windows.groupBy("print", "window").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "at")).alias("place")).where("n > 1")
+    again = stored(again.select("print", "window", "place.*"), "windows-again")
+    alone = regions.where("alone")
+    reference = alone.select("a", "b", F.col("start").alias("first"), F.col("windows").cast("int").alias("count")).unionByName(again.select("a", "b", F.col("at").alias("first"), F.lit(1).alias("count")))
+    spans = _spans(reference, texts)
+    words = spans.agg(F.sum(F.octet_length("words").cast("bigint")).alias("n")).first()["n"] or 0
+    shards = max(1, -(-words // (8 * SHARD_WORDS)))
+    rounds = -(-shards // SHARDS)
+    shard = F.pmod(F.xxhash64("a", "b", "piece"), F.lit(shards)).alias("shard")
+
+    # Which windows of a region are in which shard: bit k for the region's k-th window.
+    piece = F.expr(f"at div {PIECE}").cast("int").alias("piece")
+    of_several = windows.select("print", "region", "window", "k").join(small_or_shuffled(again), ["print", "window"]).select("print", "region", "k", "a", "b", piece).select("print", "region", "k", shard)
+    of_several = of_several.groupBy("print", "region", "shard").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("mask"))
+    pieces = F.explode(F.expr(f"sequence(int(start div {PIECE}), int((start + windows - 1) div {PIECE}))")).alias("piece")
+    low, high = f"greatest(0, piece * {PIECE} - start)", f"least(windows, (piece + 1) * {PIECE} - start)"
+    of_alone = alone.select("print", "region", "a", "b", "start", "windows", pieces).select("print", "region", shard, F.expr(f"shiftleft(1, int({high})) - shiftleft(1, int({low}))").alias("mask"))
+    targets = stored(of_several.unionByName(of_alone), "targets")
+    removed(hashes, again, regions)
+
+    paths = [shared_path(spark, name) for name in ("automata", "streams", "matched")]
+    _automata(spans.select(shard, "words")).write.partitionBy("round").parquet(paths[0])
+    removed(spans)
+    streams = _streams(found.select("a", "b", "start", "print", "region").join(small_or_shuffled(targets), ["print", "region"]), texts)
+    removed(found, targets)
+    if rounds > 1:  # a round's in few files, and those of a passage that occurs everywhere in many tasks
+        dealt = streams.repartitionByRange(task_count(streams), "shard", "a")
+    else:
+        dealt = streams
+    dealt.withColumn("round", F.expr(f"shard div {SHARDS}")).write.partitionBy("round").parquet(paths[1])
+    removed(streams)
+    for k in range(rounds if words else 0):
+        rows = spark.read.schema("shard bigint, automaton binary, round bigint").parquet(paths[0]).where(F.col("round") == k).collect()
+        sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["automaton"]) for r in rows})
+        part = spark.read.schema("a bigint, b bigint, shard bigint, first bigint, words binary, round bigint").parquet(paths[1]).where(F.col("round") == k)
+        _matched(part, sent).write.parquet(f"{paths[2]}/{k}")
+        sent.destroy()
+    delete(spark, *paths[:2])
+    schema = "a bigint, b bigint, first bigint, count bigint"
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(paths[2]) if words else spark.createDataFrame([], schema)
 
 
-def covered(n: int, start: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """The words of a text of n words that windows cover."""
-    first = np.concatenate([start[mask >> k & 1 == 1] + k for k in range(OWN)])
-    edge = np.bincount(first, minlength=n + 1) - np.bincount(first + LENGTH, minlength=n + 1)
+def covered(n: int, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The words of a text of n words that runs of windows cover."""
+    edge = np.bincount(first, minlength=n + 1) - np.bincount(first + count + LENGTH - 1, minlength=n + 1)
     return np.cumsum(edge)[:n] > 0
 
 
@@ -352,7 +403,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     # A set: it has the places of one text at most, however often the row is repeated.
-    windows = stored(repeated_windows(docs, id_col, text_col).groupBy("a", "b").agg(F.collect_set(F.struct("start", "mask")).alias("rows")), "removed")
+    windows = stored(repeated_windows(docs, id_col, text_col).groupBy("a", "b").agg(F.collect_set(F.struct("first", "count")).alias("rows")), "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,10 +436,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 # A corpus against a list of texts.
 
-#: Words of a piece of a text that goes through an automaton beside others.
-PIECE = 512
-
-
 def remove_known(docs: DataFrame, reference: list[str], length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_removed, kept_text, without the words under a match of `length` words with a reference text.
 

@@ -252,8 +252,9 @@ def brute_passages(rows):
     return out
 
 
-@pytest.mark.parametrize("shard, shards", [(30_000, 24), (200, 2)])
-def test_passages(spark, shard, shards, monkeypatch):
+@pytest.mark.parametrize("shard, shards, piece", [(30_000, 32, 512), (200, 2, 40)])
+def test_passages(spark, shard, shards, piece, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PIECE", piece)
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
     monkeypatch.setattr(substring_dedup, "SHARDS", shards)
     r = np.random.default_rng(5)
