@@ -174,7 +174,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, ids (array of int). Null texts count as empty; bytes that are no UTF-8 as U+FFFD."""
+    """Per row: doc_id, ids (array of int). Null texts count as empty; bytes that are no UTF-8 as U+FFFD; repeated rows, null
+    identifiers, other columns and empty tables change nothing. The ids of a long text are one value of one task."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(codec(path, pattern))
 

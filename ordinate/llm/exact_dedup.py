@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordinate.llm.shared import SPACE, task_count, small_or_shuffled, stored, text_or_empty
+from ordinate.llm.shared import SPACE, free_name, removed, small_or_shuffled, stored, task_count, text_or_empty
 
 PREFIX_CHARS = 32
 
@@ -22,12 +22,18 @@ def normalised(text_col: str) -> Column:
     return F.regexp_replace(text_or_empty(text_col), SPACE, " ")
 
 
-def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text_sha256, keep_id, group_size) of each text that several rows share, by the content sort."""
+def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_sha256, hash) of each row, stored."""
+    norm = normalised(text_col)
+    return stored(docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.xxhash64("norm").alias("hash")), "text-marks")
+
+
+def equal_groups(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text_sha256, keep_id, group_size) of each text that several rows share, by the content sort; marked is marks() of docs."""
     parts = task_count(docs)
+    limit = max(1, marked.count() // (4 * parts))
+    hot = marked.groupBy("hash").count().where(F.col("count") > limit).select("hash", F.lit(True).alias("hot"))
     rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm")).withColumn("hash", F.xxhash64("norm"))
-    limit = max(1, docs.count() // (4 * parts))
-    hot = rows.groupBy("hash").count().where(F.col("count") > limit).select("hash", F.lit(True).alias("hot"))
     salted = rows.join(F.broadcast(hot), "hash", "left").select(
         "id", "norm", "hash",
         F.substring("norm", 1, PREFIX_CHARS).alias("prefix"),
@@ -44,11 +50,12 @@ def exact_dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Per row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty. A null identifier is never the smallest unless its group has no other; rows that repeat the
-    smallest identifier of their group are all marked kept, since nothing tells them apart. An empty table gives no rows;
-    other columns are not read.
+    smallest identifier of their group are all marked kept, since nothing tells them apart. Identifiers may be of any type
+    with an order. Long texts are sorted whole but sampled by their beginning and hash. An empty table gives no rows; other
+    columns are not read.
     """
-    groups = stored(equal_groups(docs, id_col, text_col), "equal-texts")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(text_col), 256).alias("text_sha256"))
+    rows = marks(docs, id_col, text_col)
+    groups = stored(equal_groups(docs, rows, id_col, text_col), "equal-texts")
     size = F.coalesce("group_size", F.lit(1).cast("bigint"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return rows.join(small_or_shuffled(groups), "text_sha256", "left").select(
@@ -56,9 +63,14 @@ def exact_dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without those whose text a smaller identifier has."""
-    groups = stored(equal_groups(docs, id_col, text_col), "equal-texts")
-    names = docs.columns
-    mark = docs.withColumns({"__sha": F.sha2(normalised(text_col), 256)})
-    other = small_or_shuffled(groups.select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__shared")))
-    return mark.join(other, "__sha", "left").where(F.col("__shared").isNull() | F.col(id_col).eqNullSafe(F.col("__keep"))).select(*names)
+    """The rows of docs, all columns, without those whose text a smaller identifier has.
+
+    Nulls, empty texts and repeated identifiers as in exact_dedup_groups(): rows that repeat the smallest one all stay.
+    """
+    marked = marks(docs, id_col, text_col)
+    groups = stored(equal_groups(docs, marked, id_col, text_col), "equal-texts")
+    removed(marked)
+    sha, keep, shared = (free_name(docs, n) for n in ("text_sha", "keep", "shared"))
+    other = small_or_shuffled(groups.select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep), F.lit(True).alias(shared)))
+    joined = docs.withColumn(sha, F.sha2(normalised(text_col), 256)).join(other, sha, "left")
+    return joined.where(F.col(shared).isNull() | F.col(id_col).eqNullSafe(F.col(keep))).drop(sha, keep, shared)

@@ -6,10 +6,11 @@ floor(rate) times plus one copy more if a hash of its identifier and the seed fa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordinate.llm.shared import WORD, small_or_shuffled, stored, text_or_empty
+from ordinate.llm.shared import WORD, free_name, small_or_shuffled, stored, text_or_empty
+from ordinate.operators.positions import with_positions
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -27,27 +28,27 @@ def coin(id_col: str, seed: int = SEED) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(source, source_size, target) from rows (source, size): one row a source.
+    """(source, source_size, target) from rows (source, size): one row a source, of any number of sources.
 
     Sources in code point order, null last, take the weights in turn. Targets share the total by weight and stop at cap
-    times the source's size, the excess going to the others by weight: sources are visited by size over weight, and one
-    is full if its share of what the ones before it leave is no less than its cap.
+    times the source's size, the excess being reshared by weight among the others until none is above: each round is one
+    sum over the sources, and a source that is full stays so.
     """
-    per_source = sizes.groupBy("source").agg(F.sum("size").cast("double").alias("source_size"))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int"))
-    everything = Window.partitionBy()
-    before = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    t = per_source.withColumn("weight", weight).withColumns({
-        "total": F.sum("source_size").over(everything),
-        "all_weight": F.sum("weight").over(everything),
-        "full_before": F.coalesce(F.sum(F.col("source_size") * cap).over(before), F.lit(0.0)),
-        "weight_before": F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
-    })
-    share = F.col("weight") * (F.col("total") - F.col("full_before")) / (F.col("all_weight") - F.col("weight_before"))
-    t = t.withColumn("full", F.col("source_size") * cap <= share)
-    t = t.withColumns({"used": F.sum(F.when(F.col("full"), F.col("source_size") * cap).otherwise(0.0)).over(everything), "gone": F.sum(F.when(F.col("full"), F.col("weight")).otherwise(0.0)).over(everything)})
-    target = F.when(F.col("full"), F.col("source_size") * cap).otherwise(F.col("weight") * (F.col("total") - F.col("used")) / (F.col("all_weight") - F.col("gone")))
-    return t.select("source", F.col("source_size").cast("bigint").alias("source_size"), target.alias("target"))
+    per_source = stored(sizes.groupBy("source").agg(F.sum("size").cast("double").alias("source_size")), "source-sizes")
+    ordered = with_positions(per_source, F.col("source").asc_nulls_last(), "place")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    t = stored(ordered.select("source", "source_size", weight.alias("weight")), "source-weights")
+    all_of = t.agg(F.coalesce(F.sum("source_size"), F.lit(0.0)).alias("total"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
+    used, gone, most = 0.0, 0.0, F.col("source_size") * cap
+    while True:
+        left, weight_left = all_of["total"] - used, all_of["weight"] - gone
+        share = F.col("weight") * F.lit(left) / F.lit(weight_left) if weight_left else F.lit(0.0)
+        full = most <= share
+        filled = t.where(full).agg(F.coalesce(F.sum(most), F.lit(0.0)).alias("used"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("gone")).first()
+        if (filled["used"], filled["gone"]) == (used, gone) or not weight_left:
+            break
+        used, gone = filled["used"], filled["gone"]
+    return t.select("source", F.col("source_size").cast("bigint").alias("source_size"), F.when(full, most).otherwise(share).alias("target"))
 
 
 def copies(size: Column, source_size: Column, target: Column, toss: Column) -> Column:
@@ -59,21 +60,19 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """Per row: doc_id, size, source_size, target, taken (its words times the copies that the mix takes).
 
     Null texts have no words; a null source is a source of its own, last in order; a null identifier has a coin of its
-    own value. Rows that repeat an identifier share its coin. A source without words has target 0 and gives nothing. An
-    empty table gives no rows; other columns are not read.
+    own value. Rows that repeat an identifier share its coin. A source without words has target 0 and gives nothing. A long
+    text is counted whole and, like any, taken whole or not at all. An empty table gives no rows; other columns are not read.
     """
     rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size")), "mix-sizes")
-    targets = stored(source_targets(rows), "mix-targets").withColumnRenamed("source", "__source")
+    targets = stored(source_targets(rows), "mix-targets").withColumnRenamed("source", "of")
     n = copies(F.col("size"), F.col("source_size"), F.col("target"), coin("doc_id"))
-    return rows.join(small_or_shuffled(targets), F.col("source").eqNullSafe(F.col("__source")), "left").select(
+    return rows.join(small_or_shuffled(targets), F.col("source").eqNullSafe(F.col("of")), "left").select(
         "doc_id", "size", "source_size", "target", (n * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs, all columns, each as many times as the mix takes it."""
-    names = docs.columns
-    targets = stored(source_targets(docs.select(F.col(source_col).alias("source"), words(text_col).alias("size"))), "mix-targets")
-    targets = small_or_shuffled(targets.toDF("__source", "__source_size", "__target"))
-    n = copies(F.lit(0), F.col("__source_size"), F.col("__target"), coin(id_col))
-    taken = docs.join(targets, F.col(source_col).eqNullSafe(F.col("__source")), "left").withColumn("__copies", n).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
+    """The rows of docs, all columns, each as many times as the mix takes it; nulls, empty texts and repeats as in mix_sizes()."""
+    source, size, target, n, copy = (free_name(docs, x) for x in ("mix_source", "mix_size", "mix_target", "mix_copies", "mix_copy"))
+    targets = stored(source_targets(docs.select(F.col(source_col).alias("source"), words(text_col).alias("size"))), "mix-targets").toDF(source, size, target)
+    taken = docs.join(small_or_shuffled(targets), F.col(source_col).eqNullSafe(F.col(source)), "left").withColumn(n, copies(F.lit(0), F.col(size), F.col(target), coin(id_col))).where(F.col(n) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).drop(source, size, target, n, copy)

@@ -29,6 +29,9 @@ from ordinate.llm.shared import ship
 STATES = 300_000
 TRANSITIONS = 1_500_000
 
+#: Characters between looks at the bounds.
+STRETCH = 4096
+
 #: Pairs of tokens whose order a worker remembers.
 PAIRS = 500_000
 
@@ -268,13 +271,18 @@ class Transducer:
         return n
 
     def chars(self, key: tuple, text: str) -> tuple[tuple, int]:
-        if len(self.states) > STATES or self.transitions > TRANSITIONS:
-            self.restart()
-        state, total = self.state(key), 0
-        for char in text:
-            state, n = state[char]
-            total += n
-        return state.key, total
+        """Character by character; a character makes one state and one transition at most, and a stretch of them is the most
+        that the bounds are exceeded by."""
+        total = 0
+        for k in range(0, len(text), STRETCH):
+            if len(self.states) > STATES or self.transitions > TRANSITIONS:
+                self.restart()
+            state = self.state(key)
+            for char in text[k:k + STRETCH]:
+                state, n = state[char]
+                total += n
+            key = state.key
+        return key, total
 
     def chunk(self, text: str) -> StateMap:
         at = SYNC.search(text)
@@ -327,7 +335,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     """Per row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     Null texts count as empty; special strings in a text count as one token each, as the tokenizer's default has it. Rows
-    are independent of each other, so repeated rows, null identifiers, other columns and empty tables change nothing.
+    are independent of each other, so repeated rows, null identifiers, other columns and empty tables change nothing. A text
+    of any length is one value of one task, taken in chunks; what the transducer keeps is bounded within a text too.
     """
     ship(docs.sparkSession)
     with open(path, encoding="utf-8") as f:

@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from ordinate.llm.shared import ship
 
-#: Labelled rows of each class, and bytes of a text, that training takes at most. Rows are taken by a hash of their identifier.
+#: Labelled rows of each class, and bytes of a text, that training takes at most: 128 MB on the driver. Rows are taken by a hash
+#: of their identifier.
 SAMPLE_PER_CLASS = 4000
-SAMPLE_BYTES = 1 << 16
+SAMPLE_BYTES = 1 << 14
 
 THRESHOLD = 0.3
 LEXICON = 400
@@ -299,7 +300,8 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """Per row: doc_id, held_out, score, predicted.
 
     Null and empty texts have no words and get the score that zeros give. A null identifier is not held out. Rows are
-    scored one by one, so repeated rows, other columns and empty tables change nothing.
+    scored one by one, so repeated rows, other columns and empty tables change nothing. Long texts are scored whole, though
+    the model is fitted on texts of at most SAMPLE_BYTES.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -316,7 +318,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text is not predicted toxic."""
+    """The rows of docs, all columns, whose text is not predicted toxic; null and empty texts as in toxicity(), repeats each on its own."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -12,10 +12,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinate.llm.shared import ship, stored
+from ordinate.llm.shared import free_name, ship, stored
 
 #: Most rules that are broadcast as a trie, some 200 MB.
 MAX_RULES = 500_000
@@ -47,6 +47,7 @@ def split_url(url: str | None) -> tuple[str, str]:
 class Trie:
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
         self.top: dict = {}
+        ended: dict[int, dict] = {}
         for verdict, host, path in rules:
             node = self.top
             for label in reversed(host.split(".")):
@@ -55,19 +56,21 @@ class Trie:
             for segment in whole:
                 node = node.setdefault(("path", segment), {})
             ends = node.setdefault("ends", {})
+            ended[id(node)] = node
             if ends.get(last, ("", ""))[0] != "block":
                 ends[last] = (verdict, host + path)
+        for node in ended.values():
+            node["lengths"] = sorted({len(last) for last in node["ends"]}, reverse=True)
 
     @staticmethod
     def _along(node: dict, segments: list[str]) -> tuple[str, str] | None:
         """The longest rule that starts the path, below the node of a host."""
         best = None
         for k, segment in enumerate(segments):
-            ends = node.get("ends")
-            if ends:
-                fits = [e for e in range(len(segment), -1, -1) if segment[:e] in ends]
-                if fits:
-                    best = ends[segment[:fits[0]]]
+            for n in node.get("lengths", ()):
+                if n <= len(segment) and (found := node["ends"].get(segment[:n])):
+                    best = found
+                    break
             node = node.get(("path", segment)) if k + 1 < len(segments) else None
             if node is None:
                 break
@@ -88,14 +91,15 @@ def url_filter(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     """Per row: page_id, host, path, rule (null if none fits), verdict (the rule's, else the default).
 
     A null url and one without :// have an empty host and path and take the default. An empty table gives no rows, an
-    empty list of rules the default everywhere; repeated rows are each judged; other columns are not read.
+    empty list of rules the default everywhere; repeated rows are each judged; other columns are not read. Long urls cost
+    in proportion to their length: of a segment only the beginnings are tried that are as long as a rule's.
     """
     rules = list(rules)
     spark = pages.sparkSession
     ship(spark)
     kind = dict(pages.dtypes)[id_col]
     if len(rules) > MAX_RULES:
-        return by_join(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), spark.createDataFrame(rules, "verdict string, rule_host string, rule_path string"), default)
+        return by_join(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), as_table(spark, rules), default)
     trie = spark.sparkContext.broadcast(Trie(rules))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +117,21 @@ def url_filter(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     return pages.select(id_col, url_col).mapInArrow(judge, f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
+def as_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    return spark.createDataFrame(rules, "verdict string, rule_host string, rule_path string")
+
+
 def by_join(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """url_filter() for rules (verdict, rule_host, rule_path) of any number; pages are (page_id, url)."""
+    judged = verdicts(pages.select("url").distinct(), rules, default).withColumnRenamed("url", "judged")
+    return pages.join(judged, F.col("url").eqNullSafe(F.col("judged"))).select("page_id", "host", "path", "rule", "verdict")
+
+
+def verdicts(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
+    """(url, host, path, rule, verdict) of distinct urls."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     url = F.coalesce("url", F.lit(""))
-    urls = pages.select("url").distinct().withColumns({"host": F.translate(F.regexp_extract(url, "://([^/?#]*)", 1), upper, lower), "path": F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1)})
+    urls = urls.withColumns({"host": F.translate(F.regexp_extract(url, "://([^/?#]*)", 1), upper, lower), "path": F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1)})
     labels, segments = F.split("rule_host", r"\."), F.split("rule_path", "/")
     keyed = rules.withColumns({"labels": F.size(labels), "depth": F.size(segments) - 1}).withColumn("whole", F.array_join(F.slice(segments, 1, F.col("depth")), "/"))
     keyed = stored(keyed, "rules")
@@ -128,15 +142,17 @@ def by_join(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataF
     tried = urls.withColumn("rule_host", suffix).withColumn("p", prefix).select("url", "path", "rule_host", "p.depth", "p.whole")
     fits = tried.join(keyed, ["rule_host", "depth", "whole"]).where(F.startswith("path", "rule_path"))
     best = fits.groupBy("url").agg(F.max(F.struct("labels", F.length("rule_path").alias("length"), (F.col("verdict") == "block").alias("block"), "verdict", F.concat("rule_host", "rule_path").alias("rule"))).alias("best"))
-    judged = urls.join(best, "url", "left").select(F.col("url").alias("__url"), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
-    return pages.join(judged, pages["url"].eqNullSafe(judged["__url"])).select("page_id", "host", "path", "rule", "verdict")
+    return urls.join(best, "url", "left").select("url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def allowed(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url_col: str = "url") -> DataFrame:
-    """The rows of pages, all columns, whose url is allowed by a list of at most MAX_RULES rules."""
+    """The rows of pages, all columns, whose url is allowed; nulls, repeats and empty tables as in url_filter()."""
     rules = list(rules)
     if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: join the verdicts of url_filter()")
+        urls = pages.select(F.col(url_col).cast("string").alias("url")).distinct()
+        name = free_name(pages, "allowed_url")
+        judged = verdicts(urls, as_table(pages.sparkSession, rules), "allow").where("verdict = 'allow'").select(F.col("url").alias(name))
+        return pages.join(judged, F.col(url_col).eqNullSafe(F.col(name)), "left_semi")
     ship(pages.sparkSession)
     trie = pages.sparkSession.sparkContext.broadcast(Trie(rules))
 

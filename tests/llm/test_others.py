@@ -55,7 +55,7 @@ PAGES = [(1, "http://a/", "x" * 1000), (2, "http://b/ c\n", "x" * 1000), (7, Non
 
 
 def test_archives(spark, monkeypatch):
-    monkeypatch.setattr(warc, "MAX_RECORDS", 3)
+    monkeypatch.setattr(warc, "CLASSES", ((1500, 3), (50_000, 2)))
     df = spark.createDataFrame([(i, u, h, "clash") for i, u, h in PAGES], "page_id long, url string, html string, digest string").repartition(3)
     want = []
     for i, _, h in PAGES:
@@ -65,32 +65,94 @@ def test_archives(spark, monkeypatch):
         want.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", top if revisit else None))
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in warc.archive(df).collect())
     assert warc.archive(df.limit(0)).count() == 0
+    with pytest.raises(TypeError, match="identifiers"):
+        warc.archive(df.withColumn("page_id", F.col("url")))
 
 
 def test_files(spark, tmp_path):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(2)
     arc, out = f"file://{tmp_path}/arc", f"file://{tmp_path}/warc"
     warc.write_arc(df, arc)
-    texts = [gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "arc").glob("*.gz"))]
+    texts = [gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "arc").glob("*/*.gz"))]
     assert {t.split(b"\n")[1][:1] for t in texts} == {b"1", b"2"}
     assert sum(len(list(warc.arc_records(io.BytesIO(t)))) for t in texts) == len(PAGES)
     warc.convert(spark, arc, out)
-    records = [r for p in sorted((tmp_path / "warc").glob("*.gz")) for r in warc.warc_records(gzip.open(p))]
-    assert sorted(f["warc-type"] for f, _ in records).count("warcinfo") == len(texts)
+    paths = sorted((tmp_path / "warc").glob("*/*.gz"))
+    records = [r for p in paths for r in warc.warc_records(gzip.open(p))]
+    assert sorted(f["warc-type"] for f, _ in records).count("warcinfo") == len(paths)
+    assert len({f["warc-record-id"] for f, _ in records}) == len(records)
     for fields, block in records:
         assert fields["warc-date"] == "2024-01-01T00:00:00Z"
         if fields["warc-type"] == "response":
             assert block.startswith(b"HTTP/1.1 200 OK\r\n") and fields["content-length"] == str(len(block))
 
 
+def arc(version: str, fields: str, records: list[tuple[str, bytes]], description: bytes = b"") -> bytes:
+    body = f"{version} 0 Some Crawler\n{fields}\n".encode() + description
+    out = f"filedesc://x.arc 0.0.0.0 19970923101112 text/plain{' 200 - - 0 x.arc' if version == '2' else ''} {len(body)}\n".encode() + body + b"\n"
+    for header, content in records:
+        out += f"{header} {len(content)}\n".encode("latin-1") + content + b"\n"
+    return out
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Versions 1 and 2, gzipped and plain, records without HTTP or page, urls with spaces, malformed text, short dates."""
+    page = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n" + b"\xff\xfe same " * 200
+    same = page.partition(b"\r\n\r\n")[2]
+    one = arc("1", warc.ARC_FIELDS["1"], [
+        ("dns:www.example.org 10.0.0.1 19970923101112 text/dns", b"19970923101112\nwww.example.org. 300 IN A 10.0.0.1\n"),
+        ("http://www.example.org/a 10.0.0.1 19970923101113 text/html", page),
+        ("http://www.example.org/b c 10.0.0.1 199709231012 text/html", page),
+        ("http://old.example.org/ - 19970923 text/html", b"<html>no status line, as of HTTP/0.9"),
+        ("http://www.example.org/empty 10.0.0.1 19970923101112 text/html", b""),
+    ], b"<arcmetadata>\n<software>x</software>\n</arcmetadata>\n")
+    two = arc("2", warc.ARC_FIELDS["2"], [
+        ("http://www.example.org/a 10.0.0.1 19970923101100 text/html 404 - - 0 x.arc", b"HTTP/1.0 404 Not Found\r\n\r\n" + same),
+        ("http://www.example.org/a 10.0.0.1 19970923101113 text/html 200 - - 900 x.arc", b"HTTP/1.0 200 OK\r\n\r\nshort"),
+    ])
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "one.arc.gz").write_bytes(gzip.compress(one[:200]) + gzip.compress(one[200:]))
+    (tmp_path / "arc" / "two.arc").write_bytes(two)
+    read = warc.read_arc(spark, f"file://{tmp_path}/arc").collect()
+    assert sorted((r.url, r.kind, r.content_type, r.result_code) for r in read)[0] == ("dns:www.example.org", "resource", "text/dns", None)
+    assert sorted(r.result_code for r in read if r.result_code) == ["200", "404"]
+    warc.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    got = warc.read_warc(spark, f"file://{tmp_path}/warc").collect()
+    assert len({r.record_id for r in got}) == len(got) == 7 and {r.page_id for r in got} == {None}
+    first = next(r for r in got if r.date == "1997-09-23T10:11:00Z")
+    sha = lambda b: hashlib.sha1(b).hexdigest()
+    assert sorted(((r.url, r.date, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to_record) for r in got), key=str) == sorted([
+        ("dns:www.example.org", "1997-09-23T10:11:12Z", "resource", 53, sha(b"19970923101112\nwww.example.org. 300 IN A 10.0.0.1\n"), None),
+        ("http://www.example.org/a", "1997-09-23T10:11:13Z", "revisit", len(same), sha(same), first.record_id),
+        ("http://www.example.org/b%20c", "1997-09-23T10:12:00Z", "revisit", len(same), sha(same), first.record_id),
+        ("http://old.example.org/", "1997-09-23T00:00:00Z", "resource", 36, sha(b"<html>no status line, as of HTTP/0.9"), None),
+        ("http://www.example.org/empty", "1997-09-23T10:11:12Z", "resource", 0, sha(b""), None),
+        ("http://www.example.org/a", "1997-09-23T10:11:00Z", "response", len(same), sha(same), None),
+        ("http://www.example.org/a", "1997-09-23T10:11:13Z", "response", 5, sha(b"short"), None),
+    ], key=str)
+    assert {r.content_type for r in got if r.record_type == "resource"} == {"text/dns", "text/html"}
+
+
+def test_revisits_without_lengths(spark, tmp_path):
+    """Revisits of other writers: no block, no digest algorithm that is known, no extension fields."""
+    text = b"".join(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{k}>\r\nWARC-Date: 2001-01-01T00:00:00Z\r\nContent-Length: {len(block)}\r\n{more}\r\n".encode() + block + b"\r\n\r\n" for k, (kind, block, more) in enumerate([
+        ("revisit", b"", "WARC-Refers-To: <urn:x:1>\r\n"), ("response", b"HTTP/1.1 200 OK\r\n\r\nabc", "WARC-Payload-Digest: md5:xyz\r\n"), ("revisit", b"HTTP/1.1 304 Not Modified\r\nContent-Length: 3\r\n\r\n", ""), ("request", b"GET /", "")]))
+    (tmp_path / "x.warc").write_bytes(text)
+    got = sorted(warc.read_warc(spark, f"file://{tmp_path}").collect(), key=lambda r: r.record_id)
+    assert [(r.record_type, r.payload_bytes, r.payload_digest, r.refers_to_record) for r in got] == [("revisit", None, None, "<urn:x:1>"), ("response", 3, hashlib.sha1(b"abc").hexdigest(), None), ("revisit", 3, None, None)]
+
+
 def test_legacy_headers():
     one = b"filedesc://a 0.0.0.0 19990101000000 text/plain 76\n1 0 x\nURL IP-address Archive-date Content-type Archive-length\n" + b"\n" * 14 + b"\nhttp://a b/ 1.2.3.4 19990102030405 text/html 5\nhello\n\nhttp://c 1.2.3.4 19990102030405 text/html 0\n\n"
     found = list(warc.arc_records(io.BytesIO(one)))
-    assert [(f["URL"], f["Archive-date"], c) for f, c in found] == [("http://a b/", "19990102030405", b"hello"), ("http://c", "19990102030405", b"")]
+    assert [(f["URL"], f["Archive-date"], c) for f, c, _ in found] == [("http://a b/", "19990102030405", b"hello"), ("http://c", "19990102030405", b"")]
+    assert [one[at:].split(b" ")[0] for _, _, at in found] == [b"http://a", b"http://c"]
     with pytest.raises(ValueError, match="ends early"):
         list(warc.arc_records(io.BytesIO(one[:-30].rstrip() + b" 99\nshort")))
-    for page in (None, 0, 5, -1, 2 ** 63 - 1, -(2 ** 63)):
-        assert warc.page_of(warc.record_id(page)) == page
+    with pytest.raises(ValueError, match="unknown ARC version"):
+        list(warc.arc_records(io.BytesIO(one.replace(b"\n1 0 x", b"\n9 0 x"))))
+    with pytest.raises(ValueError, match="not an ARC date"):
+        warc.timestamp("1999")
 
 
 # Mixing.
