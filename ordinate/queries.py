@@ -10,15 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinate.functions.selecting import elements, select_column
+from ordinate import plan_queries
+from ordinate.functions.selecting import elements, largest_record, select_column
 from ordinate.operators.positions import with_positions
 from ordinate.operators.rows import select_rows
-from ordinate.plans.explain import explain
 from ordinate.plans.modes import BYTES, CHARS, GRAPHEMES, LINES, Mode, records
 from ordinate.plans.ranges import parse_range
-from ordinate.plans.translate import sql_bounds, sql_predicate, translate
+from ordinate.plans.translate import sql_bounds, sql_predicate
 from ordinate.session import shared_path, ship
-from ordinate.sources.files import concatenated, select_files, select_records
+from ordinate.sources.files import SourceError, concatenated, select_files, select_records
 from ordinate.streaming.ranges import select_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,14 +145,64 @@ def documents_graphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["documents_graphemes_tail"] = documents_graphemes
 ORACLES["documents_graphemes_tail"] = f"select doc_id, {list_oracle('-20:-2', 'n', 'e[i + 1]')} as part from (select doc_id, string_split(text, '') as e, length(text) as n from documents)"
 
-RANGE_TEXTS = [":", "5:3", "10:20", "2::3", "-5:", "-7:-2:3", ":-2", "4:-9:2", "::-1", "5:1:-1", "-1:-5:-2", "100:+-10", "-50:+20"]
+def add_clusters(query: str, text: str) -> None:
+    """Texts whose every e carries an accent of its own and whose lines end in CR LF, so that many clusters are two code points."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        joined = F.regexp_replace(F.regexp_replace("text", "e", "e\u0301"), "\n", "\r\n")
+        return table(spark, sf_dir, "documents").select("doc_id", joined.alias("text")).select("doc_id", select_column("text", text, GRAPHEMES).alias("part"))
+
+    QUERIES[query] = run
+    ORACLES[query] = rf"""select doc_id, {list_oracle(text, 'n', 'e[i + 1]')} as part from (select doc_id, e, len(e) as n from
+        (select doc_id, regexp_extract_all(replace(replace(text, 'e', 'e' || chr(769)), chr(10), chr(13) || chr(10)), '(?s)\r\n|.\x{{301}}?') as e from documents))"""
+
+
+for _name, _text in {"window": "3:90", "step": "2:400:7", "lag": "20:-20", "lag_step": ":-9:5", "reverse": "::-1", "reverse_bounds": "300:3:-11", "tail_step": "-100::9"}.items():
+    add_clusters(f"documents_clusters_{_name}", _text)
+
+
+def nul_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words ended by NUL in binary values."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", " ", "\0").cast("binary").alias("words"))
+    cut = select_column("words", "-9:-2:2", records(b"\0"), binary=True)
+    return words.select("doc_id", F.regexp_replace(cut.cast("string"), "\0", " ").alias("part"))
+
+
+QUERIES["documents_nul_records"] = nul_records
+ORACLES["documents_nul_records"] = f"""select doc_id, {list_oracle('-9:-2:2', 'n', "p[i + 1] || case when i < n - 1 or closed then ' ' else '' end")} as part from
+    (select doc_id, string_split(text, ' ') as p, ends_with(text, ' ') or text = '' as closed, len(string_split(text, ' ')) - (ends_with(text, ' ') or text = '')::int as n from documents)"""
+
+# Well-formed UTF-8 in hex, a code point a match, or else a byte.
+CODE_POINTS_IN_HEX = "[0-7].|(?:C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|E[1-9A-CEF](?:[89AB].){2}|ED[89].[89AB].|F0[9AB].(?:[89AB].){2}|F[1-3](?:[89AB].){3}|F48.(?:[89AB].){2}|.."
+
 
+def add_malformed(query: str, text: str) -> None:
+    """Bytes that are no UTF-8 before and after a piece of each text, which is cut anywhere."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data = F.concat(F.unhex(F.lit("FFE38182C0AF")), F.substring(F.col("text").cast("binary"), 1, 301), F.unhex(F.lit("80EDA080F4908080E381")))
+        return table(spark, sf_dir, "documents").select("doc_id", data.alias("data")).select("doc_id", F.hex(select_column("data", text, CHARS, binary=True)).alias("part"))
+
+    QUERIES[query] = run
+    ORACLES[query] = f"""select doc_id, {list_oracle(text, 'n', 'e[i + 1]')} as part from (select doc_id, e, len(e) as n from
+        (select doc_id, regexp_extract_all('FFE38182C0AF' || substr(hex(encode(text)), 1, 602) || '80EDA080F4908080E381', '{CODE_POINTS_IN_HEX}') as e from documents))"""
 
-def described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(t, explain(t), translate(t, LINES, "all"), translate(t, BYTES, "gnu"), sql_predicate(t)) for t in RANGE_TEXTS], "text string, words string, commands string, bytes_command string, predicate string")
 
+for _name, _text in {"window": "1:90", "step": "::7", "lag": "2:-3", "tail": "-12:", "reverse": "::-1"}.items():
+    add_malformed(f"documents_malformed_{_name}", _text)
 
-QUERIES["ranges_described"] = described
+
+def add_limit(query: str, text: str, held: str) -> None:
+    """The size of the largest line of each document that a record limit applies to; `held` is SQL for the lines' list e."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, "documents").select("doc_id", largest_record("text", text).cast("bigint").alias("largest"))
+
+    QUERIES[query] = run
+    ORACLES[query] = rf"""select doc_id, list_max([strlen(x) for x in {held}])::bigint as largest from (select doc_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+$') as e from documents)"""
+
+
+add_limit("documents_limit_tail", "-2:", "e")
+add_limit("documents_limit_tail_fixed_end", "-9:3", "e[1:3]")
+add_limit("documents_limit_lag_step", "1:-1:2", "[e[i + 1] for i in range(len(e)) if i % 2 = 1]")
+add_limit("documents_limit_reverse", "-2::-3", "e")
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -195,18 +245,70 @@ QUERIES["files_bytes_tail"] = file_bytes
 ORACLES["files_bytes_tail"] = f"select file_no, 0::bigint as i, substr(h, length(h) - 599, 400) as content from (select file_no, hex(encode(content)) as h from ({FILES_SQL}))"
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream, a range of each user, run to the end of what is there."""
-    ship(spark)
-    schema = table(spark, sf_dir, "events").select("event_id", "user_id", "value").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    out, state = shared_path(spark, "stream"), shared_path(spark, "stream-state")
-    query = select_stream(stream, "event_id", "1:-2:2", ["user_id"]).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(schema).parquet(out)
-
-
-QUERIES["events_stream_lag"] = event_stream
-ORACLES["events_stream_lag"] = f"""
-    select event_id, user_id, value from (select *, row_number() over (partition by user_id order by event_id) - 1 as i, count(*) over (partition by user_id) as n from events)
-    where {sql_predicate('1:-2:2')}"""
+def add_file_parts(query: str, text: str, mode: Mode) -> None:
+    """Files read by pieces, as large ones are."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return concatenated(select_files(spark, raw_lines(spark, sf_dir), text, mode, quiet=True, large=0)).select("file_no", F.col("content").cast("string").alias("content"))
+
+    QUERIES[query] = run
+    ORACLES[query] = f"select file_no, {list_oracle(text, 'n', 'e[i + 1]')} as content from (select file_no, string_split(content, '') as e, length(content) as n from ({FILES_SQL}))"
+
+
+add_file_parts("files_chars_lag_step", "50:-100:90", CHARS)
+add_file_parts("files_chars_reverse", "-500:-90:-3", CHARS)
+#: No grapheme of these texts is longer than a code point.
+add_file_parts("files_graphemes_tail", "-400:-100", GRAPHEMES)
+
+
+def strided_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    selected = select_files(spark, raw_lines(spark, sf_dir), "-10:200:-1000", BYTES, quiet=True)
+    return concatenated(selected).select("file_no", F.hex("content").alias("content"))
+
+
+QUERIES["files_bytes_reverse_stride"] = strided_bytes
+ORACLES["files_bytes_reverse_stride"] = f"select file_no, {list_oracle('-10:200:-1000', 'n', 'substr(h, (2 * i + 1)::bigint, 2)')} as content from (select file_no, hex(encode(content)) as h, strlen(content) as n from ({FILES_SQL}))"
+
+
+def missing_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of which the second is not there: the others' parts, and the error."""
+    paths = raw_lines(spark, sf_dir)
+    paths.insert(1, paths[0] + "-that-is-not-there")
+    try:
+        select_files(spark, paths, "-2:")
+    except SourceError as e:
+        errors = spark.createDataFrame([(paths.index(path), None, why) for path, why in e.errors], "file_no int, content string, error string")
+        content = F.regexp_replace(F.col("content").cast("string"), "(?s)^==> [^\n]* <==", "==> <==").alias("content")
+        return concatenated(e.result).select("file_no", content, F.lit(None).cast("string").alias("error")).unionByName(errors)
+    raise AssertionError("a missing file was found")
+
+
+QUERIES["files_missing"] = missing_file
+ORACLES["files_missing"] = f"""
+    select (file_no + (file_no > 0)::int)::int as file_no, '==> <==' || chr(10) || string_agg(elem || chr(10), '' order by i) as content, null::varchar as error
+    from ({LINES_SQL}) where {sql_predicate('-2:')} group by file_no
+    union all select 1::int, null, 'No such file or directory (os error 2)'"""
+
+
+def add_stream(query: str, text: str, by: tuple[str, ...]) -> None:
+    """The events as a stream, a range of each user or of all, run to the end of what is there."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        schema = table(spark, sf_dir, "events").select("event_id", "user_id", "value").schema
+        stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+        out, state = shared_path(spark, "stream"), shared_path(spark, "stream-state")
+        query = select_stream(stream, "event_id", text, by).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.read.schema(schema).parquet(out)
+
+    QUERIES[query] = run
+    group = f"partition by {', '.join(by)} " if by else ""
+    ORACLES[query] = f"""
+    select event_id, user_id, value from (select *, row_number() over ({group}order by event_id) - 1 as i, count(*) over ({group.strip()}) as n from events)
+    where {sql_predicate(text)}"""
+
+
+for _name, _text, _by in (("lag", "1:-2:2", ("user_id",)), ("copy", ":", ()), ("head", ":3", ("user_id",)), ("window", "100:900", ()), ("step", "1::3", ("user_id",)), ("lag_all", "5:-40:9", ())):
+    add_stream(f"events_stream_{_name}", _text, _by)
+
+QUERIES |= plan_queries.QUERIES
+ORACLES |= plan_queries.ORACLES

@@ -63,32 +63,32 @@ def probe(spark: SparkSession, paths: Sequence[str]) -> tuple[list[Found], list[
     return found, errors
 
 
-def select_files(spark: SparkSession, paths: Sequence[str], text: Range | str, mode: Mode = LINES, quiet: bool = False, max_record_size: int | None = None, strict: bool = True) -> DataFrame:
+def select_files(spark: SparkSession, paths: Sequence[str], text: Range | str, mode: Mode = LINES, quiet: bool = False, max_record_size: int | None = None, strict: bool = True, large: int | None = None) -> DataFrame:
     """(file_no, src, i, content): what the range selects of each file at i >= 0, after its header at i = -1.
 
     Headers come with more than one file unless quiet. The output in bytes is content in the order of file_no and i.
     Files that cannot be opened get no header; with strict, SourceError is raised for them and holds the result of the rest.
 
-    Bytes are read by seeking to them. Files of up to LARGE bytes are one value each; of larger ones records are read by
-    splits, code points and clusters by pieces. A large file is still one value if its delimiter can overlap itself or is
+    Bytes are read by seeking to them. Files of up to `large` bytes (LARGE) are one value each; of larger ones records are
+    read by splits, code points and clusters by pieces. A large file is still one value if its delimiter can overlap itself or is
     no UTF-8, since a split cannot tell where records begin then.
     """
     r = as_range(text)
     found, errors = probe(spark, paths)
-    whole, large = [], []
+    whole, parted = [], []
     for f in found:
-        (large if f.length > LARGE and (not mode.delimited or splits(mode.delimiter)) else whole).append(f)
+        (parted if f.length > (LARGE if large is None else large) and (not mode.delimited or splits(mode.delimiter)) else whole).append(f)
     if r.kind is Kind.EMPTY or not found:
         parts = spark.createDataFrame([(f.number, f.name, 0, bytearray()) for f in found], SCHEMA)
     elif mode.unit is Unit.BYTES:
         parts = _of_bytes(spark, found, r)
     else:
         parts = _whole(spark, whole, r, mode, max_record_size) if whole else spark.createDataFrame([], SCHEMA)
-        if large and mode.delimited:
-            records = _selected(_records(spark, large, mode), r, mode, max_record_size)
+        if parted and mode.delimited:
+            records = _selected(_records(spark, parted, mode), r, mode, max_record_size)
             parts = parts.unionByName(records.select("file_no", "src", F.col("pos").alias("i"), F.col("elem").alias("content")))
-        elif large:
-            parts = parts.unionByName(_of_pieces(spark, large, r, mode, max_record_size))
+        elif parted:
+            parts = parts.unionByName(_of_pieces(spark, parted, r, mode, max_record_size))
     if len(paths) > 1 and not quiet:
         heads = spark.createDataFrame([(f.number, f.name, -1, bytearray(f"==> {f.name} <==\n".encode())) for f in found], SCHEMA)
         parts = parts.unionByName(heads)

@@ -53,3 +53,9 @@ def test_files(spark, tmp_path, capsys):
 def test_standard_input(spark, monkeypatch):
     monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO("a\0b\0é\0".encode())))
     assert call("-z", "-2:") == (0, "b\0é\0".encode())
+    assert call("5:3") == (0, b"")
+
+
+def test_version(capsys):
+    assert call("--version")[0] == 0
+    assert capsys.readouterr().out.startswith("ordinate ")

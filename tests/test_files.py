@@ -5,7 +5,7 @@ import pytest
 from ordinate.functions.selecting import RecordTooLarge
 from ordinate.plans.modes import BYTES, CHARS, GRAPHEMES, LINES, records
 from ordinate.plans.ranges import parse_range
-from ordinate.sources import files
+from ordinate.sources import files, ranges
 from ordinate.sources.ranges import byte_ranges
 from tests.test_selecting import RANGES, model
 
@@ -89,3 +89,50 @@ def test_large_files_by_splits(spark, tmp_path):
                 assert b"".join(e for f, _, e in got if f == no) == model(data[n], text, LINES), (text, n)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("mode", [BYTES, CHARS, GRAPHEMES, LINES, records(","), records("||")], ids=lambda m: f"{m.unit.name}-{m.delimiter!r}")
+@pytest.mark.parametrize("text", ["3:21:4", "-9:-2", "2:-3:2", "::-1", "-2:1:-5"])
+def test_large_files_as_small_ones(spark, tmp_path, mode, text, monkeypatch):
+    """Pieces of a few bytes, cut within code points, clusters and malformed bytes."""
+    monkeypatch.setattr(ranges, "PIECE", 5)
+    data = {"mixed": "é\u0301中\r\na\U0001F468\u200d\U0001F469,\n\n\U0001F1E9\U0001F1EA\U0001F1EB,,b||c|||d".encode() + b"\xff\xe3\x81\xe3\x81\x82\x80\xed\xa0\x80\xf0\x9f\x98", "ascii": b"abcdefg,hij\nklm,n", "none": b""}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    got = files.output(files.select_files(spark, [str(tmp_path / n) for n in data], text, mode, quiet=True, large=0))
+    assert got == b"".join(model(d, text, mode) for d in data.values())
+
+
+def test_delimiters_that_split(spark, folder):
+    assert [files.splits(d) for d in (b"\n", b"ab", b"||", b"aba", b"\xff")] == [True, True, False, False, False]
+    with pytest.raises(ValueError, match="overlap itself"):
+        files.read_records(spark, [str(folder / "five")], records("||"))
+
+
+def test_long_delimiters_across_splits(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "53")
+    try:
+        data = b"".join(b"row %d<ab>" % k for k in range(120)) + b"end<a"
+        (tmp_path / "x").write_bytes(data)
+        for text in ("::7", "-30:-3", "-1::-11"):
+            rows = sorted((r.pos, bytes(r.elem)) for r in files.select_records(spark, [str(tmp_path / "x")], text, records("<ab>")).collect())
+            assert b"".join(e for _, e in rows) == model(data, text, records("<ab>")), text
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("text, most", [("-2:", 8), (":1", None), ("-9:2", 3), ("1:-1:2", 7), ("::-1", 8), ("0::2", None)])
+def test_record_limit_of_large_files(spark, tmp_path, text, most):
+    """The largest record that the limit applies to is `most` bytes; None where it applies to none."""
+    (tmp_path / "x").write_bytes(b"a\nbb\ncc\nlarger\n1234567\n3333\n".replace(b"cc", b"c"))
+    (tmp_path / "y").write_bytes("ae\u0301\u0301\U0001F468\u200d\U0001F469b".encode())
+    for path, mode, size in (("x", LINES, most), ("y", GRAPHEMES, None if most is None else {"-2:": 11, "-9:2": 5, "1:-1:2": 5, "::-1": 11}[text])):
+        for limit in (1000,) if size is None else (size, size - 1):
+            def out(large):
+                return files.output(files.select_files(spark, [str(tmp_path / path)], text, mode, max_record_size=limit, large=large))
+            if size is not None and limit < size:
+                for large in (0, 1000):
+                    with pytest.raises(RecordTooLarge):
+                        out(large)
+            else:
+                assert out(0) == out(1000)

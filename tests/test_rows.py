@@ -82,3 +82,40 @@ def test_named_forms(table):
     assert [r.k for r in rows.drop_last(table, "k", 10).collect()] == [0, 1]
     assert [r.k for r in rows.every(table, "k", 5).collect()] == [0, 5, 10]
     assert [r.k for r in rows.reverse(table, "k", 5).collect()] == [11, 6, 1]
+
+
+TAKEN = ["place", "rows", "other_row", "row_of_group", "rows_of_group", "salt", "row_of_salt", "part_of_row", "place_in_part", "start_of_part", "rows_in_all", "rows_of_part", "Place_In_All", "first_of_group", "group_0", "__pos", "__n", "__row"]
+
+
+@pytest.mark.parametrize("text, top", [("::2", 100_000), ("2:-2", 2), ("-3:", 100_000), ("1:4", 100_000), ("::-1", 2)])
+def test_no_column_of_the_caller_is_lost(spark, text, top, monkeypatch):
+    monkeypatch.setattr(rows, "TOP", top)
+    df = spark.createDataFrame([(k, k % 2, *(f"{n}{k}" for n in TAKEN)) for k in range(9)], ["k", "g", *TAKEN])
+    for options in ({}, {"position": "pos"}, {"position": "place_"}, {"by": ["g"]}, {"by": ["g"], "skewed": True, "position": "row_of_group_"}):
+        out = rows.select_rows(df, "k", text, **options)
+        assert out.columns == [*df.columns, *([options["position"]] if "position" in options else [])]
+        for r in out.collect():
+            assert all(r[n] == f"{n}{r.k}" for n in TAKEN) and r.g == r.k % 2
+
+
+def test_ties_are_found_on_demand(spark):
+    df = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (2, 1, 1)], "a int, b int, k0 int")
+    assert rows.select_rows(df, ["a", "b"], ":2", unique=True).count() == 2
+    assert rows.select_rows(df, "a", ":2", by=["b"], unique=True).count() == 3
+    with pytest.raises(positions.OrderError, match="same a"):
+        rows.select_rows(df, "a", ":2", unique=True)
+
+
+def test_a_head_of_very_many_partitions_is_cut_twice(spark, monkeypatch):
+    monkeypatch.setattr(rows, "TOP_SENT", 10)
+    df = spark.range(5000).selectExpr("id * 7919 % 5003 as k", "id as salt").repartition(40)
+    want = sorted(r.k for r in df.collect())
+    for text, chosen in ((":7", want[:7]), ("-6:", want[-6:]), ("2:9:3", want[2:9:3]), ("::-1", want[::-1]), ("1005:1010", want[1005:1010])):
+        out = rows.select_rows(df, "k", text)
+        assert out.columns == ["k", "salt"] and [r.k for r in out.collect()] == chosen
+    assert "WindowGroupLimit" in rows.select_rows(df, "k", ":7")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_positions_replace_columns_of_their_name(spark):
+    df = spark.createDataFrame([(3, "a", "x"), (1, "b", "y")], "k int, i string, n string")
+    assert sorted(tuple(r) for r in positions.with_positions(df, "k", "i", "n").collect()) == [(1, 0, 2), (3, 1, 2)]

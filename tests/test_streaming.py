@@ -42,6 +42,20 @@ def test_groups(spark, folder):
     assert got == [(g, k) for g, ks in groups.items() for k in ks[1:-2:2]]
 
 
+def test_a_record_over_the_limit_fails_the_query(spark, folder):
+    source = spark.readStream.schema("k long, g string").parquet(str(folder))
+    for most, fails in ((1, False), (0, True)):
+        query = select_stream(source, "k", ":-3", record="g", max_record_size=most).writeStream.format("noop").outputMode("append").start()
+        try:
+            if fails:
+                with pytest.raises(Exception, match="record exceeds --max-record-size=0 bytes"):
+                    query.processAllAvailable()
+            else:
+                query.processAllAvailable()
+        finally:
+            query.stop()
+
+
 @pytest.mark.parametrize("text", ["-3:", "::-1"])
 def test_the_end_of_a_stream_is_unknown(spark, folder, text):
     with pytest.raises(UsageError, match="depends on the end"):
