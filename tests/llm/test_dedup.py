@@ -64,7 +64,7 @@ def test_exact_empty(spark):
 
 # Components.
 
-@pytest.mark.parametrize("links", [[], [(1, 1)], [(1, 2), (2, 3), (9, 8)], [(k, k + 1) for k in range(60)], [(k, 100) for k in range(99)], [(k, (k * 17 + 5) % 90) for k in range(0, 90, 2)]])
+@pytest.mark.parametrize("links", [[], [(1, 1)], [(1, 2), (2, 3), (9, 8)], [(k, k + 1) for k in range(150)], [(k, k + 1) for k in (*range(0, 60, 2), *range(1, 61, 2))] * 2, [(k, 100) for k in range(99)], [(k, (k * 17 + 5) % 90) for k in range(0, 90, 2)]])
 def test_components(spark, links):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
     nodes = {n for a, b in links if a != b for n in (a, b)}
@@ -208,6 +208,59 @@ def test_near(spark, block, monkeypatch):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(i for i, c in want.items() if c == i)
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_near_groups_of_the_tables(spark):
+    """Every pair of the table's documents that shares a run of words is held against the similarity: no link is missed."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    counts, holders, links, seen = {}, {}, [], {}
+    for i, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        if (key := " ".join(words)) in seen:
+            links.append((i, seen[key]))
+            continue
+        seen[key], counts[i] = i, {}
+        for k in range(max(1, len(words) - 4) if words else 0):
+            run = tuple(words[k:k + 5])
+            counts[i][run] = counts[i].get(run, 0) + 1
+        for run, n in counts[i].items():
+            holders.setdefault(run, []).append((i, n))
+    shared = {}
+    for held in holders.values():
+        for x, (i, n) in enumerate(held):
+            for j, m in held[:x]:
+                shared[i, j] = shared.get((i, j), 0) + min(n, m)
+    sizes = {i: sum(c.values()) for i, c in counts.items()}
+    links += [(i, j) for (i, j), n in shared.items() if n >= 0.8 * (sizes[i] + sizes[j] - n)]
+    want = components_of([i for i, _ in rows], links)
+    assert len(set(want.values())) < len(want)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_groups(docs).collect()} == want
+
+
+def test_near_long_texts_and_identifiers(spark):
+    r = np.random.default_rng(12)
+    long = [f"w{x}" for x in r.integers(0, 50_000, 60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-9])), (3, " ".join(long[:40_000])), (4, "x" * 300_000), (5, "x" * 300_000 + "y")]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    with pytest.raises(TypeError, match="identifiers"):
+        near_dedup.near_groups(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_a_centre_goes_with_each_part_of_its_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PAIRS", 3)
+    text = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*text, f"own{k}"])) for k in range(40)] + [(3, " ".join(["q"] * 9)), (99, " ".join(["q"] * 9 + ["r"]))]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.component_id) for x in got} == {(i, c) for i, c in brute_near_by_id(rows).items()}
+
+
+def brute_near_by_id(rows):
+    """Components of identifiers, each with any number of texts."""
+    by_row = brute_near(list(enumerate(t for _, t in rows)))
+    return components_of({i for i, _ in rows}, [(rows[k][0], rows[c][0]) for k, c in by_row.items()])
+
+
 def test_near_repeated_identifiers(spark):
     a, b = "a b c d e f g h i j", "q w e r t y u i o p"
     got = near_dedup.near_groups(spark.createDataFrame([(1, a), (1, a), (2, a), (2, b), (3, b)], "doc_id long, text string")).collect()

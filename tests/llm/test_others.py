@@ -2,12 +2,14 @@ import binascii
 import gzip
 import hashlib
 import io
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ordinate.llm import mixing, toxicity, url_filter, warc
+from ordinate.llm import embedding_dedup, exact_dedup, mixing, near_dedup, toxicity, url_filter, warc
 
 
 # URL filters.
@@ -39,6 +41,15 @@ def test_urls(spark):
     assert sorted(str(tuple(r)) for r in url_filter.by_join(df.select("page_id", "url"), rules).collect()) == sorted(str(tuple(r)) for r in got)
 
 
+def test_long_segments_cost_their_length():
+    trie = url_filter.Trie([*url_filter.RULES, ("block", "example.org", "/" + "a" * 500)])
+    began = time.process_time()
+    for n in (200_000, 400_000):
+        assert trie.find("example.org", "/" + "a" * n) == ("block", "example.org/" + "a" * 500)
+        assert trie.find("x.example.org", "/b" + "a" * n + "/" + "c" * n) == ("allow", "org/")
+    assert time.process_time() - began < 1
+
+
 def test_precedence(spark, monkeypatch):
     rules = [("allow", "a.com", "/x"), ("block", "a.com", "/x"), ("block", "com", "/x/long/path"), ("allow", "b.a.com", "/x/"), ("block", "a.com", "/x/lo"), ("allow", "a.com", ""), ("block", "net", "")]
     df = spark.createDataFrame([(k, u) for k, u in enumerate(["h://a.com/x", "h://b.a.com/x/long/path", "h://a.com/x/long/path", "h://a.com/y", "h://a.com", "h://z.net", "h://q.com/x/long/paths"])], "page_id long, url string")
@@ -46,6 +57,8 @@ def test_precedence(spark, monkeypatch):
     for most in (500_000, 2):
         monkeypatch.setattr(url_filter, "MAX_RULES", most)
         assert [r.verdict for r in url_filter.url_filter(df, rules).orderBy("page_id").collect()] == want
+        kept = url_filter.allowed(df.withColumn("allowed_url", F.lit("own")), rules)
+        assert sorted((r.page_id, r.allowed_url) for r in kept.collect()) == [(k, "own") for k, v in enumerate(want) if v == "allow"]
 
 
 # WARC.
@@ -257,6 +270,93 @@ def test_without_labels(spark):
     assert [(r.score, r.predicted) for r in toxicity.toxicity(docs, model).collect()] == [(0.0, 0)] * 2
 
 
+def test_trees_against_a_plain_search():
+    r = np.random.default_rng(3)
+    x = np.column_stack([r.normal(size=150), r.integers(0, 4, 150), r.random(150), np.zeros(150)])
+    y = (x[:, 0] + x[:, 1] > 1.5).astype(float)
+    w = r.integers(1, 4, 150).astype(float)
+    found = toxicity.Boosted(trees=3, depth=2, rate=0.3, bins=8).fit(x, y, w)
+    mean = (y * w).sum() / w.sum()
+    score = [float(np.log(mean / (1 - mean)))] * len(y)
+
+    def split(rows, g, h, depth):
+        """Leaves of rows: of all cuts of all features that with the largest gain, the first of equals."""
+        if depth == 0:
+            return [rows]
+        gain = lambda some: sum(g[k] for k in some) ** 2 / (sum(h[k] for k in some) + 1)
+        best, parts = 1e-9, (rows, [])
+        for f in range(4):
+            for cut in sorted(set(np.quantile(x[:, f], np.linspace(0, 1, 9)[1:-1]))):
+                low, high = [k for k in rows if x[k, f] <= cut], [k for k in rows if x[k, f] > cut]
+                if rows and gain(low) + gain(high) - gain(rows) > best + 1e-12:
+                    best, parts = gain(low) + gain(high) - gain(rows), (low, high)
+        return [leaf for part in parts for leaf in split(part, g, h, depth - 1)]
+
+    for _ in range(3):
+        p = 1 / (1 + np.exp(-np.array(score)))
+        g, h = w * (p - y), w * p * (1 - p)
+        for leaf in split(list(range(len(y))), g, h, 2):
+            for k in leaf:
+                score[k] -= 0.3 * sum(g[j] for j in leaf) / (sum(h[j] for j in leaf) + 1)
+    assert np.allclose(found.score(x), score)
+
+
+def test_features_against_a_plain_count():
+    lexicon = toxicity.Lexicon({"dolt": 2.0, "oaf": 1.5}, {"nitw": 1.0})
+    text = "YOU are a dolt, you NITWITS! Oaf?? d0lt a1b it's ---  du"
+    words = ["YOU", "are", "a", "dolt", "you", "NITWITS", "Oaf", "d0lt", "a1b", "it's", "du"]
+    weight = {"dolt": 2.0, "oaf": 1.5, "nitwits": 1.0}
+    hits = [k for k, v in enumerate(words) if v.lower() in weight]
+    you = [k for k, v in enumerate(words) if v.lower() in toxicity.YOU]
+    n, letters = len(words), len(text)
+    want = {
+        "hits": len(hits) / n, "weight": sum(weight[words[k].lower()] for k in hits) / n, "strongest": 2.0, "near_you": sum(any(abs(h - y) <= 5 for y in you) for h in hits) / n,
+        "hidden": 1 / n, "obfuscated": 2 / n, "capitals": sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text) / letters, "shouted": 2 / n, "marks": 3 / letters, "long_marks": 1 / letters,
+        "you": len(you) / n, "log_words": np.log(n), "log_hits": np.log(1 + len(hits)), "log_different": np.log(1 + len(hits)),
+    }
+    assert dict(zip(toxicity.NAMES, toxicity.features(text, lexicon))) == pytest.approx(want)
+    assert toxicity.features(" --- ", lexicon) == (0.0,) * len(toxicity.NAMES)
+
+
+def test_isotonic_against_the_max_of_min_means():
+    r = np.random.default_rng(5)
+    x, y, w = r.permutation(40).astype(float), r.random(40), r.integers(1, 5, 40).astype(float)
+    order = np.argsort(x)
+    ys, ws = y[order], w[order]
+    mean = lambda a, b: (ys[a:b] * ws[a:b]).sum() / ws[a:b].sum()
+    want = [max(min(mean(a, b) for b in range(k + 1, 41)) for a in range(k + 1)) for k in range(40)]
+    assert np.allclose(toxicity.Isotonic().fit(x, y, w).predict(x[order]), want)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
+def test_toxicity_of_the_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    rows = toxicity.toxicity(docs, toxicity.fitted(docs, labels)).where("held_out").join(labels, "doc_id").where("toxic is not null").select("predicted", "toxic").collect()
+    caught = sum(r.predicted == 1 == r.toxic for r in rows)
+    precision, recall = caught / sum(r.predicted for r in rows), caught / sum(r.toxic for r in rows)
+    print(len(rows), precision, recall)
+    assert len(rows) > 500 and precision > 0.95 and recall > 0.92
+
+
+# Columns of the caller's.
+
+TAKEN = ["__keep", "__sha", "__shared", "keep", "shared", "text_sha", "gone", "node", "component", "component_id", "kept", "mix_source", "mix_size", "mix_target", "mix_copies", "mix_copy", "__copies", "__source", "score", "h1", "a", "b"]
+
+
+@pytest.mark.parametrize("stage", ["exact", "near", "mix", "vectors", "toxic"])
+def test_no_column_of_the_caller_is_lost(spark, stage):
+    texts = ["a b c d e f", "a b  c d e f", None, "", "x y", "x y", "q " * 2000]
+    rows = [(k, t, ("s", None)[k % 2], [1.0, float(k % 3)] if k != 4 else None, *(f"{n}{k}" if k else None for n in TAKEN)) for k, t in enumerate(texts)] + [(None,) * (4 + len(TAKEN))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, v array<double>, " + ", ".join(f"`{n}` string" for n in TAKEN))
+    flat = toxicity.train(["a", "b"], np.array([0.0, 0.0]), np.ones(2))
+    apply = {"exact": exact_dedup.exact_dedup, "near": near_dedup.near_dedup, "mix": mixing.mix, "vectors": lambda d: embedding_dedup.near_free(d, id_col="doc_id", vector_col="v"), "toxic": lambda d: toxicity.without_toxic(d, flat)}[stage]
+    out = apply(df)
+    assert out.columns == df.columns
+    found = out.collect()
+    assert found and all(r[n] == (f"{n}{r.doc_id}" if r.doc_id else None) for r in found for n in TAKEN)
+    assert apply(df.limit(0)).count() == 0
+
+
 def test_isotonic():
     fit = toxicity.Isotonic().fit(np.array([1.0, 2, 3, 4, 4]), np.array([0.0, 1, 0, 1, 0]), np.ones(5))
     p = fit.predict(np.array([0.0, 1, 2, 3, 4, 9]))

@@ -97,6 +97,25 @@ def test_states_are_bounded(texts, counter, monkeypatch, machine):
         assert machine.count(t) == len(counter.encode(t, add_special_tokens=False).ids), t
 
 
+def test_states_are_bounded_within_a_text(counter, monkeypatch, machine):
+    monkeypatch.setattr(token_counts, "STATES", 3000)
+    monkeypatch.setattr(token_counts, "STRETCH", 64)
+    machine.restart()
+    r = random.Random(6)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
+    most = 0
+    restart = type(machine).restart
+
+    def watched(self):
+        nonlocal most
+        most = max(most, len(self.states))
+        restart(self)
+
+    monkeypatch.setattr(type(machine), "restart", watched)
+    assert machine.count(text) == len(counter.encode(text, add_special_tokens=False).ids)
+    assert 3000 < most <= 3000 + 64 + 1 and len(machine.states) <= 3065
+
+
 def test_composition_is_associative(machine):
     text = "it's a  long\n\ntext' of ,words' and\u3000'll spaces " * 3
     maps = [machine.chunk(text[k:k + 5]) for k in range(0, len(text), 5)]
