@@ -91,8 +91,9 @@ def test_files(spark, tmp_path):
     assert sum(len(list(warc.arc_records(io.BytesIO(t)))) for t in texts) == len(PAGES)
     warc.convert(spark, arc, out)
     paths = sorted((tmp_path / "warc").glob("*/*.gz"))
-    records = [r for p in paths for r in warc.warc_records(gzip.open(p))]
-    assert sorted(f["warc-type"] for f, _ in records).count("warcinfo") == len(paths)
+    by_file = [found for p in paths if (found := list(warc.warc_records(gzip.open(p))))]  # a task without rows leaves an empty file
+    assert all([k for k, (f, _) in enumerate(found) if f["warc-type"] == "warcinfo"] == [0] for found in by_file)
+    records = [r for found in by_file for r in found]
     assert len({f["warc-record-id"] for f, _ in records}) == len(records)
     for fields, block in records:
         assert fields["warc-date"] == "2024-01-01T00:00:00Z"
@@ -110,13 +111,14 @@ def arc(version: str, fields: str, records: list[tuple[str, bytes]], description
 
 def test_archives_of_other_writers(spark, tmp_path):
     """Versions 1 and 2, gzipped and plain, records without HTTP or page, urls with spaces, malformed text, short dates."""
+    dns, old = b"19970923101112\nwww.example.org. 300 IN A 10.0.0.1\n", b"<html>no status line, as of HTTP/0.9"
     page = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n" + b"\xff\xfe same " * 200
     same = page.partition(b"\r\n\r\n")[2]
     one = arc("1", warc.ARC_FIELDS["1"], [
-        ("dns:www.example.org 10.0.0.1 19970923101112 text/dns", b"19970923101112\nwww.example.org. 300 IN A 10.0.0.1\n"),
+        ("dns:www.example.org 10.0.0.1 19970923101112 text/dns", dns),
         ("http://www.example.org/a 10.0.0.1 19970923101113 text/html", page),
         ("http://www.example.org/b c 10.0.0.1 199709231012 text/html", page),
-        ("http://old.example.org/ - 19970923 text/html", b"<html>no status line, as of HTTP/0.9"),
+        ("http://old.example.org/ - 19970923 text/html", old),
         ("http://www.example.org/empty 10.0.0.1 19970923101112 text/html", b""),
     ], b"<arcmetadata>\n<software>x</software>\n</arcmetadata>\n")
     two = arc("2", warc.ARC_FIELDS["2"], [
@@ -127,7 +129,7 @@ def test_archives_of_other_writers(spark, tmp_path):
     (tmp_path / "arc" / "one.arc.gz").write_bytes(gzip.compress(one[:200]) + gzip.compress(one[200:]))
     (tmp_path / "arc" / "two.arc").write_bytes(two)
     read = warc.read_arc(spark, f"file://{tmp_path}/arc").collect()
-    assert sorted((r.url, r.kind, r.content_type, r.result_code) for r in read)[0] == ("dns:www.example.org", "resource", "text/dns", None)
+    assert [(r.kind, r.content_type, r.result_code) for r in read if r.url == "dns:www.example.org"] == [("resource", "text/dns", None)]
     assert sorted(r.result_code for r in read if r.result_code) == ["200", "404"]
     warc.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
     got = warc.read_warc(spark, f"file://{tmp_path}/warc").collect()
@@ -135,10 +137,10 @@ def test_archives_of_other_writers(spark, tmp_path):
     first = next(r for r in got if r.date == "1997-09-23T10:11:00Z")
     sha = lambda b: hashlib.sha1(b).hexdigest()
     assert sorted(((r.url, r.date, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to_record) for r in got), key=str) == sorted([
-        ("dns:www.example.org", "1997-09-23T10:11:12Z", "resource", 53, sha(b"19970923101112\nwww.example.org. 300 IN A 10.0.0.1\n"), None),
+        ("dns:www.example.org", "1997-09-23T10:11:12Z", "resource", len(dns), sha(dns), None),
         ("http://www.example.org/a", "1997-09-23T10:11:13Z", "revisit", len(same), sha(same), first.record_id),
         ("http://www.example.org/b%20c", "1997-09-23T10:12:00Z", "revisit", len(same), sha(same), first.record_id),
-        ("http://old.example.org/", "1997-09-23T00:00:00Z", "resource", 36, sha(b"<html>no status line, as of HTTP/0.9"), None),
+        ("http://old.example.org/", "1997-09-23T00:00:00Z", "resource", len(old), sha(old), None),
         ("http://www.example.org/empty", "1997-09-23T10:11:12Z", "resource", 0, sha(b""), None),
         ("http://www.example.org/a", "1997-09-23T10:11:00Z", "response", len(same), sha(same), None),
         ("http://www.example.org/a", "1997-09-23T10:11:13Z", "response", 5, sha(b"short"), None),
