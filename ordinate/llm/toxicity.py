@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from ordinate.llm.shared import ship
 
-#: Labelled rows of each class, and bytes of a text, that training takes at most: 128 MB on the driver. Rows are taken by a hash
-#: of their identifier.
+#: Labelled identifiers of each class, bytes of a text, and bytes of all texts that training takes at most. They are taken by a
+#: hash of the identifier.
 SAMPLE_PER_CLASS = 4000
-SAMPLE_BYTES = 1 << 14
+SAMPLE_BYTES = 1 << 16
+SAMPLE_TOTAL = 96 << 20
 
 THRESHOLD = 0.3
 LEXICON = 400
@@ -237,7 +238,9 @@ def held_out(id_col: str) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and weights: at most SAMPLE_PER_CLASS rows of each class, never held out, each weighing as many labelled rows as it stands for."""
+    """Texts, labels and weights: at most SAMPLE_PER_CLASS identifiers of each class, never held out, each weighing as many
+    labelled rows as it stands for. Sizes come first, so that no more than SAMPLE_TOTAL bytes are ever collected; an identifier
+    whose texts do not fit is passed over."""
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.md5(F.col("id").cast("string"))
@@ -246,7 +249,14 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = known.where(F.col("y") == y).orderBy(order, "id").limit(SAMPLE_PER_CLASS)
         taken = part if taken is None else taken.unionByName(part)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(taken), "id").select("id", "text", "y").orderBy(order, F.md5("text")).limit(2 * SAMPLE_PER_CLASS).collect()
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(taken), "id")
+    total, chosen = 0, []
+    for r in texts.groupBy("id").agg(F.sum(F.octet_length("text") + 64).alias("size")).orderBy(order, "id").collect():
+        if total + r["size"] <= SAMPLE_TOTAL:
+            total += r["size"]
+            chosen.append((r["id"],))
+    wanted = docs.sparkSession.createDataFrame(chosen, f"id {dict(texts.dtypes)['id']}")
+    rows = texts.join(F.broadcast(wanted), "id").select("id", "text", "y").orderBy(order, F.md5("text")).collect()
     y = np.array([r["y"] for r in rows], dtype=float)
     weight = np.array([counts[r["y"]] / max(1, int((y == r["y"]).sum())) for r in rows])
     return [r["text"] for r in rows], y, weight
