@@ -21,7 +21,7 @@ from ordinate.plans.modes import LINES, Mode, Unit
 from ordinate.plans.ranges import Kind, Range, as_range
 from ordinate.plans.translate import sql_bounds, sql_predicate
 from ordinate.session import stored
-from ordinate.sources.ranges import SCHEMA, byte_ranges, text_pieces
+from ordinate.sources.ranges import SCHEMA, byte_ranges, seekable, text_pieces
 
 #: Bytes of a file up to which it is one value.
 LARGE = 64 << 20
@@ -71,16 +71,18 @@ def select_files(spark: SparkSession, paths: Sequence[str], text: Range | str, m
 
     Bytes are read by seeking to them. Files of up to `large` bytes (LARGE) are one value each; of larger ones records are
     read by splits, code points and clusters by pieces. A large file is still one value if its delimiter can overlap itself or is
-    no UTF-8, since a split cannot tell where records begin then.
+    no UTF-8, since a split cannot tell where records begin then; and so is any file, unless read by records, of a store
+    that only Spark's readers can open.
     """
     r = as_range(text)
     found, errors = probe(spark, paths)
+    can_part = splits(mode.delimiter) if mode.delimited else bool(found) and seekable(found[0].path)
     whole, parted = [], []
     for f in found:
-        (parted if f.length > (LARGE if large is None else large) and (not mode.delimited or splits(mode.delimiter)) else whole).append(f)
+        (parted if can_part and f.length > (LARGE if large is None else large) else whole).append(f)
     if r.kind is Kind.EMPTY or not found:
         parts = spark.createDataFrame([(f.number, f.name, 0, bytearray()) for f in found], SCHEMA)
-    elif mode.unit is Unit.BYTES:
+    elif mode.unit is Unit.BYTES and can_part:
         parts = _of_bytes(spark, found, r)
     else:
         parts = _whole(spark, whole, r, mode, max_record_size) if whole else spark.createDataFrame([], SCHEMA)

@@ -21,11 +21,21 @@ class Piece(InputPartition):
 def opened(path: str):
     from pyarrow import fs
 
-    path = "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
-    system, inner = fs.FileSystem.from_uri(path)
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    system, inner = fs.FileSystem.from_uri("s3" + path.removeprefix("s3a") if path.startswith("s3a:") else path)
     return system.open_input_file(inner)
 
 
+def seekable(path: str) -> bool:
+    """Whether Python can open the file; a store may be one that only Spark's readers know."""
+    try:
+        opened(path).close()
+    except (OSError, ValueError, NotImplementedError):  # Arrow's errors are of these kinds
+        return False
+    return True
+
+
 class ByteRangeReader(DataSourceReader):
     def __init__(self, options):
         self.wanted = json.loads(options["ranges"])

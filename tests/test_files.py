@@ -136,3 +136,11 @@ def test_record_limit_of_large_files(spark, tmp_path, text, most):
                         out(large)
             else:
                 assert out(0) == out(1000)
+
+
+@pytest.mark.parametrize("mode", [BYTES, CHARS], ids=lambda m: m.unit.name)
+def test_files_that_python_cannot_open_are_values(spark, folder, mode, monkeypatch):
+    monkeypatch.setattr(files, "seekable", lambda path: False)
+    paths = [str(folder / n) for n in FIXTURES]
+    assert files.output(files.select_files(spark, paths, "1:-1:3", mode, quiet=True, large=0)) == b"".join(model(d, "1:-1:3", mode) for d in FIXTURES.values())
+    assert not ranges.seekable("viewfs://x/y") and not ranges.seekable("file:///no/such/file") and ranges.seekable(f"file:{folder / 'five'}")
