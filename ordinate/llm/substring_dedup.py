@@ -37,7 +37,7 @@ OWN = LENGTH - GRAM + 1  # fingerprints in a window, and most windows in a regio
 
 #: Words of a shard or so (its automaton has some 70 bytes a word), and shards of a round.
 SHARD_WORDS = 30_000
-SHARDS = 32
+SHARDS = 16
 #: Words at which a span of the reference is cut, and of a piece of a text that remove_known() sends through an automaton.
 PIECE = 512
 
@@ -290,18 +290,20 @@ def _automata(spans: DataFrame) -> DataFrame:
 
 
 def _streams(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, shard, first, words, round): the text around the windows of found (a, b, start, shard, mask), by the shard that has them."""
+    """(a, b, shard, first, words): the text around the windows of found (a, b, start, shard, mask), by the shard that has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, words, rows in _texts_and_rows(batches):
             start, shard, mask = (np.asarray(c).astype(np.int64) for c in rows.columns)
-            out = []
-            for s in np.unique(shard):
-                here = shard == s
-                first = np.concatenate([start[here][mask[here] >> k & 1 == 1] + k for k in range(OWN)])
-                out += [(int(s), x, words[x:y + LENGTH - 1].tobytes()) for x, y in runs_of(first, np.ones_like(first))]
-            shards, firsts, texts = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array([a] * len(out), pa.int64()), pa.array([b] * len(out), pa.int64()), pa.array(shards, pa.int64()), pa.array(firsts, pa.int64()), pa.array(texts, pa.binary())], names=["a", "b", "shard", "first", "words"])
+            row, k = np.nonzero(mask[:, None] >> np.arange(OWN) & 1)
+            shard, window = shard[row], start[row] + k
+            order = np.lexsort((window, shard))
+            shard, window = shard[order], window[order]
+            breaks = np.flatnonzero((np.diff(shard) != 0) | (np.diff(window) > 1))
+            first, last = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(window) - 1]])
+            texts = [words[x:y + LENGTH].tobytes() for x, y in zip(window[first].tolist(), window[last].tolist())]
+            n = len(first)
+            yield pa.RecordBatch.from_arrays([pa.array([a] * n, pa.int64()), pa.array([b] * n, pa.int64()), pa.array(shard[first]), pa.array(window[first]), pa.array(texts, pa.binary())], names=["a", "b", "shard", "first", "words"])
 
     return _by_text(found, ["start", "shard", "mask"], docs, run, "a bigint, b bigint, shard bigint, first bigint, words binary")
 
@@ -378,6 +380,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for k in range(rounds if words else 0):
         rows = spark.read.schema("shard bigint, automaton binary, round bigint").parquet(paths[0]).where(F.col("round") == k).collect()
         sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["automaton"]) for r in rows})
+        del rows
         part = spark.read.schema("a bigint, b bigint, shard bigint, first bigint, words binary, round bigint").parquet(paths[1]).where(F.col("round") == k)
         _matched(part, sent).write.parquet(f"{paths[2]}/{k}")
         sent.destroy()
