@@ -144,3 +144,39 @@ def test_files_that_python_cannot_open_are_values(spark, folder, mode, monkeypat
     paths = [str(folder / n) for n in FIXTURES]
     assert files.output(files.select_files(spark, paths, "1:-1:3", mode, quiet=True, large=0)) == b"".join(model(d, "1:-1:3", mode) for d in FIXTURES.values())
     assert not ranges.seekable("viewfs://x/y") and not ranges.seekable("file:///no/such/file") and ranges.seekable(f"file:{folder / 'five'}")
+
+
+@pytest.mark.parametrize("mode", [BYTES, CHARS, GRAPHEMES, LINES, records("||")], ids=lambda m: f"{m.unit.name}-{m.delimiter!r}")
+@pytest.mark.parametrize("text", ["3:21:4", "-9:-2", "::-1", "-2:1:-5"])
+def test_inputs_in_several_files(spark, tmp_path, mode, text, monkeypatch):
+    """Files that are cut after lines, within code points and clusters, or empty are read as the one that they make up."""
+    monkeypatch.setattr(ranges, "PIECE", 5)
+    whole = "é́中\r\na\U0001F468‍\U0001F469,\n\n\U0001F1E9\U0001F1EA\U0001F1EB,,b||c|||d\nlast".encode() + b"\xff\xe3\x81"
+    cuts = {"lines": [0, 9, 9, 24, len(whole)], "anywhere": [0, 1, 2, 9, 9, 24, 40, len(whole)]}
+    assert whole[8:9] == whole[23:24] == b"\n"
+    inputs = []
+    for name, at in cuts.items():
+        parts = [tmp_path / f"{name}{k}" for k in range(len(at))]
+        for part, a, b in zip(parts, at, [*at[1:], len(whole)]):
+            part.write_bytes(whole[a:b])
+        inputs.append(files.InParts(name, tuple(map(str, parts))))
+    (tmp_path / "alone").write_bytes(whole)
+    inputs.append(str(tmp_path / "alone"))
+    want = model(whole, text, mode)
+    for large in (0, 1000):
+        got = files.output(files.select_files(spark, inputs, text, mode, large=large))
+        assert got == b"".join(f"==> {name} <==\n".encode() + want for name in ("lines", "anywhere", tmp_path / "alone"))
+    if mode == LINES:
+        got = sorted((r.pos, bytes(r.elem)) for r in files.select_records(spark, inputs[:1], text).collect())
+        assert b"".join(e for _, e in got) == want
+        with pytest.raises(ValueError, match="anywhere ends within a record"):
+            files.read_records(spark, inputs)
+
+
+def test_an_input_whose_part_is_missing(spark, folder):
+    gap = files.InParts("gap", (str(folder / "five"), str(folder / "absent")))
+    with pytest.raises(files.SourceError, match="gap: No such file") as e:
+        files.select_files(spark, [gap, str(folder / "five")], "-1:")
+    assert files.output(e.value.result) == f"==> {folder / 'five'} <==\nline4\n".encode()
+    with pytest.raises(ValueError, match="no files"):
+        files.InParts("none", ())

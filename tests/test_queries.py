@@ -47,3 +47,11 @@ def test_the_engine_stands_without_the_other_subpackage():
     for path in top.rglob("*.py"):
         if path.relative_to(top).parts[0] != "llm":
             assert "ordinate.llm" not in path.read_text(), path
+
+
+def test_no_task_writes_all_lines_of_a_language(spark, db, monkeypatch):
+    monkeypatch.setattr(queries, "LINES_BYTES", 30_000)
+    inputs = queries.raw_lines(spark, FOLDER)
+    assert len(inputs) == 4 and sum(len(i.paths) for i in inputs) > 8
+    got = [b"".join(Path(p.removeprefix("file:")).read_bytes() for p in i.paths).decode() for i in inputs]
+    assert got == [content for (content,) in db.execute(f"select content from ({queries.FILES_SQL}) order by file_no").fetchall()]
