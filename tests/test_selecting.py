@@ -85,3 +85,11 @@ def test_record_limit(spark, text, mode, limit, fails):
             select_texts(df, "t", text, mode, max_record_size=limit)
     else:
         assert select_texts(df, "t", text, mode, max_record_size=limit).count() == 1
+
+
+def test_clusters_are_cut_by_few_values_at_a_time(spark):
+    """Batches of Arrow hold as many rows whatever their size; all of one would be in a worker's memory at once."""
+    df = spark.createDataFrame([("éa",)], "t string")
+    for column in (select_column("t", "-100::9", GRAPHEMES), elements("t", GRAPHEMES)):
+        plan = df.select(column.alias("t"))._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
