@@ -180,3 +180,10 @@ def test_an_input_whose_part_is_missing(spark, folder):
     assert files.output(e.value.result) == f"==> {folder / 'five'} <==\nline4\n".encode()
     with pytest.raises(ValueError, match="no files"):
         files.InParts("none", ())
+
+
+def test_pieces_of_clusters_are_small(spark, tmp_path):
+    (tmp_path / "x").write_bytes(b"line\n" * 2_000_000)
+    found, _ = files.probe(spark, [str(tmp_path / "x")])
+    sizes = [len(r.content) for r in ranges.text_pieces(spark, [(f.number, f.name, f.parts, f.length) for f in found], lines=True).select("content").collect()]
+    assert sum(sizes) == 10_000_000 and max(sizes) < 5 << 20
